@@ -65,6 +65,9 @@ class Scratch:
     so that it broadcasts a table only below `spark.sql.autoBroadcastJoinThreshold`.
     """
 
+    #: Codecs that keep buffers outside the heap until the next full collection make many small files costly.
+    codec = "none"
+
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root, self.n = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", 0
         self.paths: dict[int, str] = {}
@@ -74,7 +77,7 @@ class Scratch:
     def keep(self, df: DataFrame) -> DataFrame:
         self.n += 1
         path = f"{self.root}/{self.n}"
-        df.write.parquet(path)
+        df.write.option("compression", self.codec).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(out)] = path
         return out
