@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, mixing, quality, secrets, toxicity
+from . import decontamination, mixing, near_duplicates, quality, repeats, secrets, toxicity
 from .shared import table
 
 
@@ -48,8 +48,16 @@ def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", *map(count, secrets.KINDS), digest.alias("base_sha256"), secrets.joined_column("spans").alias("spans"))
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.join(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")
+
+
+def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op3_quality, op4_mixing, op6_toxicity, op7_secrets)}
+    return {f.__name__: f for f in (op1_decontamination, op3_quality, op4_mixing, op6_toxicity, op7_secrets, op9_jaccard_join, op10_repeats)}
 
 
 def oracle_sql() -> dict[str, str]:
