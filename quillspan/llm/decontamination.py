@@ -104,3 +104,10 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 13, share: in
     sizes = only(docs, "doc_id", "text").groupBy("doc_id").agg(F.max(F.size(words(F.col("text"))).cast("long")).alias("n_words"))
     out = sizes.join(hit, sizes.doc_id.eqNullSafe(hit.doc_id), "left").select(sizes.doc_id, "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
     return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), "items", ((F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"))
+
+
+def clean_docs(docs: DataFrame, items: DataFrame, **settings) -> DataFrame:
+    """docs without the contaminated ones; all columns stay as they are."""
+    scratch = Scratch(docs.sparkSession, "op1-clean")
+    bad = scratch.keep(contamination(docs, items, **settings).where("contaminated").select("doc_id").distinct())
+    return docs.join(bad, "doc_id", "left_anti").select(docs.columns)

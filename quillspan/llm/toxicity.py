@@ -240,3 +240,16 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([m.score(t.as_py()) for t in batch.column("text")], pa.float64())], ["doc_id", "score"])
 
     return only(docs, "doc_id", "text").mapInArrow(run, "doc_id long, score double")
+
+
+def clean_docs(docs: DataFrame, model: Model, limit: float = 0.3) -> DataFrame:
+    """docs without those that score `limit` or more; all columns stay as they are."""
+    shipped = docs.sparkSession.sparkContext.broadcast(model)
+    place = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shipped.value
+        for batch in batches:
+            yield batch.filter(pa.array([m.score(t.as_py()) < limit for t in batch.column(place)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
