@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, mixing, near_duplicates, quality, repeats, secrets, toxicity
-from .shared import table
+from . import decontamination, html_extraction, local_descriptors, mixing, near_duplicates, pii, quality, repeats, secrets, toxicity
+from .shared import ship, table
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,6 +17,10 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.concat_ws(",", "items").cast("binary"), 256).alias("items_sha256"), "contaminated")
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.replace_docs(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_entities", "entity_kinds", "text")
+
+
 def remainder(modulus: int) -> F.Column:
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus
 
@@ -31,8 +36,17 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = mixing.mix(table(spark, sf_dir, "documents"))
-    return got.select("doc_id", "source", "size", "source_size", "target", F.aggregate("draws", F.lit(0).cast("long"), lambda s, d: s + d["words"]).alias("taken"))
+    return mixed(table(spark, sf_dir, "documents")).drop("draws")
+
+
+def mixed(docs: DataFrame) -> DataFrame:
+    taken = F.aggregate("draws", F.lit(0).cast("long"), lambda s, d: s + d["words"])
+    return mixing.mix(docs).select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"), "draws")
+
+
+def op5_image_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The test tables have no images: their vectors are drawn as mosaics of grey cells."""
+    return local_descriptors.search(F.col("id") % 100 == 0, local_descriptors.mosaics(table(spark, sf_dir, "embeddings")))
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,6 +62,10 @@ def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", *map(count, secrets.KINDS), digest.alias("base_sha256"), secrets.joined_column("spans").alias("spans"))
 
 
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extraction.extract(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.join(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")
 
@@ -56,8 +74,20 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """The query, after the workers have this package."""
+
+    @wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op3_quality, op4_mixing, op6_toxicity, op7_secrets, op9_jaccard_join, op10_repeats)}
+    every = (op1_decontamination, op2_pii, op3_quality, op4_mixing, op5_image_copies, op6_toxicity, op7_secrets, op8_html_extraction, op9_jaccard_join, op10_repeats)
+    return {f.__name__: shipped(f) for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
