@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import WordHashes, gram_hashes, only, Scratch
+from .shared import Scratch, WordHashes, gram_hashes, only, word_hashes
 from .toxicity import logistic, sample
 
 MOST_ROWS = 20_000
@@ -47,7 +47,7 @@ class Shapes(dict):
         return h
 
 
-shapes, hashes = Shapes(), WordHashes()
+shapes = Shapes()
 
 
 def indicators(text: str | None) -> np.ndarray:
@@ -58,7 +58,7 @@ def indicators(text: str | None) -> np.ndarray:
     found = [np.array([EMPTY + np.uint64(n.bit_length())])]
     if n:
         s = np.fromiter(map(shapes.__getitem__, words), np.uint64, n)
-        w = hashes.of([x.lower() for x in words])
+        w, _, _ = word_hashes(data.lower())
         again = np.zeros(n, np.uint64)
         again[1:] = (w[1:] == w[:-1]).astype(np.uint64)
         s = s * np.uint64(2) + again

@@ -30,15 +30,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import MIX, Scratch, WordHashes, gram_hashes, mixed, only, words_of
+from .shared import MIX, Scratch, bytes_of, gram_hashes, mixed, only, word_hashes
 
 WINDOW, GRAM = 13, 5
 #: What is known about a run: a smaller document has it; its windows are to be looked up; it answers for others; both.
 REPEATED, OPEN, ANSWERS = 1, 2, 4
 SEEN = 400_000
-hashes = WordHashes()
-
-RUN = pa.list_(pa.struct([("anchor", pa.int64()), ("span", pa.int64())]))
 
 
 def window_hashes(h: np.ndarray, window: int) -> np.ndarray:
@@ -71,12 +68,6 @@ def runs(h: np.ndarray, window: int = WINDOW, gram: int = GRAM) -> tuple[np.ndar
     return g[chosen[first]].view(np.int64), span.view(np.int64), first, last
 
 
-def runs_of(text: str | None, window: int, gram: int):
-    words = words_of(text)
-    h = hashes.of(words)
-    return words, h, runs(h, window, gram)
-
-
 def asked(window: int, gram: int):
     """(doc_id, text) -> (doc_id, ask, gone): the distinct runs of a document to be joined, and those that a smaller document of the partition has."""
 
@@ -85,7 +76,7 @@ def asked(window: int, gram: int):
         for batch in batches:
             ask, gone = [], []
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-                _, _, (anchor, span, _, _) = runs_of(text.as_py(), window, gram)
+                anchor, span, _, _ = runs(word_hashes(bytes_of(text.as_py()))[0], window, gram)
                 mine, theirs = [], []
                 if doc is not None:
                     for pair in dict.fromkeys(zip(anchor.tolist(), span.tolist(), strict=True)):
@@ -143,78 +134,106 @@ def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield told(rest)
 
 
-STATE = "doc_id long, n_words long, n_removed long, kept_sha256 string, text string, known array<struct<anchor:long,span:long>>, windows array<struct<anchor:long,w:long,at:int,open:boolean>>, repeats array<struct<start:int,end:int>>"
+RANGES = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string, repeats array<struct<start:int,end:int>>"
+STATE = RESULT + ", text string, windows array<struct<anchor:long,w:long,at:int,open:boolean>>"
 
 
-def cover(n: int, starts: np.ndarray, window: int) -> np.ndarray:
-    mark = np.zeros(n + 1, np.int64)
-    np.add.at(mark, starts, 1)
-    np.add.at(mark, starts + window, -1)
-    return np.cumsum(mark[:-1]) > 0
+def cover(n: int, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Which of n words lie in a range."""
+    mark = np.bincount(starts, minlength=n + 1) - np.bincount(ends, minlength=n + 1)
+    return np.cumsum(mark[:n]) > 0
 
 
-def result(words: list[bytes], gone: np.ndarray) -> tuple[int, str, list[dict[str, int]]]:
-    edge = np.flatnonzero(np.diff(np.concatenate([[0], gone.astype(np.int8), [0]])))
-    kept = hashlib.sha256(b" ".join([w for w, g in zip(words, gone.tolist(), strict=True) if not g] if len(edge) else words)).hexdigest()
-    return int(gone.sum()), kept, [{"start": int(a), "end": int(b)} for a, b in edge.reshape(-1, 2)]
+def ranges(gone: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.diff(np.concatenate([[0], gone.view(np.int8), [0]]))).reshape(-1, 2)
 
 
-def windows_of(anchors: np.ndarray, first: np.ndarray, last: np.ndarray, which: np.ndarray) -> np.ndarray:
-    """Starts of all windows of the runs at `which`."""
-    length = (last - first + 1)[which]
-    return np.repeat(first[which] - np.concatenate([[0], np.cumsum(length)[:-1]]), length) + np.arange(length.sum()) if len(which) else np.empty(0, np.int64)
+def kept_digest(data: bytes, start: np.ndarray, end: np.ndarray, gone: np.ndarray) -> str:
+    """SHA-256 of the words that stay, joined by single spaces."""
+    if not gone.any():
+        return hashlib.sha256(b" ".join(data.split())).hexdigest()
+    parts = [b" ".join(data[start[a] : end[b - 1]].split()) for a, b in ranges(~gone)]
+    return hashlib.sha256(b" ".join(parts)).hexdigest()
+
+
+def range_lists(rows: list[np.ndarray]) -> pa.Array:
+    flat = np.concatenate([np.empty((0, 2), np.int64), *rows]).astype(np.int32)
+    ends = np.cumsum([0, *map(len, rows)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays([pa.array(flat[:, 0].copy()), pa.array(flat[:, 1].copy())], ["start", "end"]))
 
 
 def settle(window: int, gram: int):
-    """(doc_id, text, flags) -> STATE: results of documents with nothing open; the windows that are asked or answer; texts only where something is open."""
+    """(doc_id, text, flags) -> STATE: results of documents with nothing open; the windows that are asked or answer; texts and what is gone already where something is open."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = {k: [] for k in ("n_words", "n_removed", "kept_sha256", "text", "known", "windows", "repeats")}
-            for text, flags in zip(batch.column("text"), batch.column("flags"), strict=True):
+            flags = batch.column("flags")
+            bounds = np.concatenate([[0], np.cumsum(np.nan_to_num(flags.value_lengths().to_numpy(zero_copy_only=False)))]).astype(int)
+            flat = [c.to_pylist() for c in flags.flatten().flatten()]
+            n_words, n_removed, digests, repeats, texts = [], [], [], [], []
+            windows: list[list[np.ndarray]] = [[], [], [], []]
+            counts = [0]
+            for row, text in enumerate(batch.column("text")):
                 text = text.as_py()
-                flag = {}
-                for f in flags.as_py() or ():
-                    pair = (f["anchor"], f["span"])
-                    flag[pair] = flag.get(pair, 0) | f["flag"]
-                words = words_of(text)
-                windows, known, is_open = [], [], False
-                gone = np.zeros(len(words), bool)
+                data = bytes_of(text)
+                a, b = bounds[row], bounds[row + 1]
+                flag: dict[tuple[int, int], int] = {}
+                for pair, f in zip(zip(flat[0][a:b], flat[1][a:b], strict=True), flat[2][a:b], strict=True):
+                    flag[pair] = flag.get(pair, 0) | f
+                made, is_open = 0, False
+                h, start, end = word_hashes(data)
+                gone = np.zeros(len(h), bool)
                 if flag:
-                    h = hashes.of(words)
                     anchor, span, first, last = runs(h, window, gram)
                     of = np.array([flag.get(p, 0) for p in zip(anchor.tolist(), span.tolist(), strict=True)], np.int64)
-                    repeated = np.flatnonzero(of & REPEATED)
-                    gone = cover(len(words), windows_of(anchor, first, last, repeated), window)
-                    w = window_hashes(h, window).view(np.int64)
-                    for i in np.flatnonzero((of & REPEATED == 0) & (of > 0)):
-                        here = bool(of[i] & OPEN)
-                        is_open |= here
-                        windows += [{"anchor": int(anchor[i]), "w": int(w[k]), "at": int(k), "open": here} for k in range(first[i], last[i] + 1)]
-                    if is_open:
-                        known = [p for p, f in flag.items() if f & REPEATED]
-                n, sha, repeats = (None, None, []) if is_open else result(words, gone)
-                for k, v in (("n_words", len(words)), ("n_removed", n), ("kept_sha256", sha), ("text", text if is_open else None), ("known", [{"anchor": a, "span": s} for a, s in known]), ("windows", windows), ("repeats", repeats)):
-                    out[k].append(v)
-            kinds = {"n_words": pa.int64(), "n_removed": pa.int64(), "kept_sha256": pa.string(), "text": pa.string(), "known": RUN, "windows": pa.list_(pa.struct([("anchor", pa.int64()), ("w", pa.int64()), ("at", pa.int32()), ("open", pa.bool_())])), "repeats": pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))}
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(out[k], t) for k, t in kinds.items())], ["doc_id", *kinds])
+                    repeated = of & REPEATED > 0
+                    gone = cover(len(h), first[repeated], last[repeated] + window)
+                    which = np.flatnonzero(~repeated & (of > 0))
+                    if len(which):
+                        at = windows_of(first, last, which)
+                        length = (last - first + 1)[which]
+                        here = np.repeat(of[which] & OPEN > 0, length)
+                        is_open, made = bool(here.any()), len(at)
+                        for x, v in zip(windows, (np.repeat(anchor[which], length), window_hashes(h, window)[at].view(np.int64), at.astype(np.int32), here), strict=True):
+                            x.append(v)
+                counts.append(made)
+                n_words.append(len(h))
+                n_removed.append(None if is_open else int(gone.sum()))
+                digests.append(None if is_open else kept_digest(data, start, end, gone))
+                texts.append(text if is_open else None)
+                repeats.append(ranges(gone))
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.bool_())
+            columns = [pa.array(np.concatenate(x) if x else [], t) for x, t in zip(windows, kinds, strict=True)]
+            found = pa.ListArray.from_arrays(pa.array(np.cumsum(counts).astype(np.int32)), pa.StructArray.from_arrays(columns, ["anchor", "w", "at", "open"]))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(digests, pa.string()), range_lists(repeats), pa.array(texts, pa.string()), found], ["doc_id", "n_words", "n_removed", "kept_sha256", "repeats", "text", "windows"])
 
     return run
 
 
-def finish(window: int, gram: int):
-    """(doc_id, text, known, at) -> results of the documents that had open runs; at: starts of windows found to repeat."""
+def windows_of(first: np.ndarray, last: np.ndarray, which: np.ndarray) -> np.ndarray:
+    """Starts of all windows of the runs at `which`."""
+    length = (last - first + 1)[which]
+    return np.repeat(first[which] - np.concatenate([[0], np.cumsum(length)[:-1]]), length) + np.arange(length.sum())
+
+
+def finish(window: int):
+    """(doc_id, text, repeats, at) -> RESULT of documents that had open runs; repeats: what is gone already; at: starts of more windows that repeat."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for text, known, at in zip(batch.column("text"), batch.column("known"), batch.column("at"), strict=True):
-                words, _, (anchor, span, first, last) = runs_of(text.as_py(), window, gram)
-                whole = {(p["anchor"], p["span"]) for p in known.as_py()}
-                which = np.array([i for i, p in enumerate(zip(anchor.tolist(), span.tolist(), strict=True)) if p in whole], np.int64)
-                starts = np.concatenate([windows_of(anchor, first, last, which), np.array(at.as_py() or [], np.int64)])
-                rows.append((len(words), *result(words, cover(len(words), starts, window))))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.string()), pa.array([r[3] for r in rows], pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))], ["doc_id", "n_words", "n_removed", "kept_sha256", "repeats"])
+            n_words, n_removed, digests, repeats = [], [], [], []
+            for text, known, at in zip(batch.column("text"), batch.column("repeats"), batch.column("at"), strict=True):
+                data = bytes_of(text.as_py())
+                h, start, end = word_hashes(data)
+                more = np.array(at.as_py() or [], np.int64)
+                known = np.array([(r["start"], r["end"]) for r in known.as_py()], np.int64).reshape(-1, 2)
+                gone = cover(len(h), np.concatenate([known[:, 0], more]), np.concatenate([known[:, 1], more + window]))
+                n_words.append(len(h))
+                n_removed.append(int(gone.sum()))
+                digests.append(kept_digest(data, start, end, gone))
+                repeats.append(ranges(gone))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(digests, pa.string()), range_lists(repeats)], ["doc_id", "n_words", "n_removed", "kept_sha256", "repeats"])
 
     return run
 
@@ -232,12 +251,11 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> D
     flags = scratch.keep(judged.union(first.select("doc_id", F.inline("gone")).select("doc_id", "anchor", "span", F.lit(REPEATED).alias("flag"))))
     scratch.drop(first)
     per = flags.groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "span", "flag")).alias("flags"))
-    state = scratch.keep(texts.join(per.withColumnRenamed("doc_id", "id"), F.col("doc_id") == F.col("id"), "left").select("doc_id", "text", "flags").mapInArrow(settle(window, gram), STATE))
+    state = scratch.keep(texts.join(per.withColumnRenamed("doc_id", "id"), F.col("doc_id") == F.col("id"), "left").select("doc_id", "text", "flags").mapInArrow(settle(window, gram), STATE), codec="zstd")
     scratch.drop(flags)
     spots = state.select("doc_id", F.inline("windows"))
     least = spots.groupBy("anchor", "w").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("anchor", "w", "least")
     found = spots.where("open").join(least, ["anchor", "w"]).where("least < doc_id").groupBy(F.col("doc_id").alias("id")).agg(F.collect_set("at").alias("at"))
-    pending = state.where("n_removed is null").join(found, F.col("doc_id") == F.col("id"), "left").select("doc_id", "text", "known", "at")
-    columns = ["doc_id", "n_words", "n_removed", "kept_sha256", "repeats"]
-    done = pending.mapInArrow(finish(window, gram), "doc_id long, n_words long, n_removed long, kept_sha256 string, repeats array<struct<start:int,end:int>>")
-    return state.where("n_removed is not null").select(*columns).union(done)
+    pending = state.where("n_removed is null").join(found, F.col("doc_id") == F.col("id"), "left").select("doc_id", "text", "repeats", "at")
+    done = pending.mapInArrow(finish(window), RESULT)
+    return state.where("n_removed is not null").select("doc_id", "n_words", "n_removed", "kept_sha256", "repeats").union(done)

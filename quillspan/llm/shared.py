@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import atexit
 import contextlib
-import os
-import re
 import tempfile
 import uuid
 import zipfile
@@ -74,10 +72,10 @@ class Scratch:
         ship(spark)
         atexit.register(self.clear)
 
-    def keep(self, df: DataFrame) -> DataFrame:
+    def keep(self, df: DataFrame, codec: str | None = None) -> DataFrame:
         self.n += 1
         path = f"{self.root}/{self.n}"
-        df.write.option("compression", self.codec).parquet(path)
+        df.write.option("compression", codec or self.codec).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(out)] = path
         return out
@@ -131,6 +129,36 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+_SPACES = np.zeros(256, bool)
+_SPACES[[9, 10, 11, 12, 13, 32]] = True
+_TABLE = mixed(np.arange(1, 64 * 256 + 1, dtype=np.uint64) * MIX)
+
+
+def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes, starts and ends (in bytes) of the words that `data.split()` gives, without making them.
+
+    A word's hash adds up a keyed number for each byte and place in the word.
+    """
+    x = np.frombuffer(data, np.uint8)
+    space = _SPACES[x]
+    edge = np.flatnonzero(np.diff(np.concatenate([[True], space, [True]]).view(np.int8)))
+    start, end = edge[::2], edge[1::2]
+    if not len(start):
+        return np.empty(0, np.uint64), start, end
+    place = np.arange(len(x)) - np.repeat(np.concatenate([[0], start[1:]]), np.diff(np.concatenate([[0], start[1:], [len(x)]])))
+    place[: start[0]] = 0
+    place[start[0] : end[0]] -= start[0]
+    c = _TABLE[((place & 63) << 8) | x]
+    if int((end - start).max()) > 64:
+        c *= (2 * (place >> 6) + 1).astype(np.uint64)
+    c[space] = 0
+    return mixed(np.add.reduceat(c, start)), start, end
+
+
+def bytes_of(text: str | None) -> bytes:
+    return text.encode("utf-8", "surrogatepass") if text else b""
+
+
 def gram_hashes(h: np.ndarray, k: int) -> np.ndarray:
     """Hashes of the k-grams of words with hashes h; empty if there are fewer words."""
     n = len(h) - k + 1
@@ -143,33 +171,32 @@ def gram_hashes(h: np.ndarray, k: int) -> np.ndarray:
 
 
 def words_of(text: str | None) -> list[bytes]:
-    return text.encode("utf-8", "surrogatepass").split() if text else []
+    return bytes_of(text).split()
 
 
 def connected(scratch: Scratch, edges: DataFrame) -> DataFrame:
     """Connected components of `edges` (a, b: long) as (id, root), root the least id.
 
-    Every round, each node takes the least root among its neighbours' and its own, then jumps to its
-    root's root; rounds end when nothing changes. Each round is a written table, so a lost executor
-    costs one round. Nothing is collected but a count.
+    Every round points each node to the least of its neighbours and itself and contracts the graph
+    along these pointers, which at least halves its nodes; then the pointers are followed
+    from the last round back. Each round is a written table, so a lost executor costs one round, and
+    nothing is collected but whether edges are left.
     """
-    both = scratch.keep(edges.select("a", "b").where("a <> b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")).where("a <> b")).distinct())
-    state = scratch.keep(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("m")).select("id", F.least("id", "m").alias("root")))
-    while True:
-        near = both.join(state, F.col("b") == F.col("id")).groupBy("a").agg(F.min("root").alias("m"))
-        step = state.join(near, F.col("id") == F.col("a"), "left").select("id", F.col("root").alias("old"), F.least("root", F.coalesce("m", "root")).alias("root"))
-        parents = state.select(F.col("id").alias("p"), F.col("root").alias("grand"))
-        new = scratch.keep(step.join(parents, F.col("root") == F.col("p"), "left").select("id", "old", F.least("root", F.coalesce("grand", "root")).alias("root")))
-        changed = new.where("old <> root").limit(1).count()
-        scratch.drop(state)
-        state = new
-        if not changed:
-            scratch.drop(both)
-            return state.select("id", "root")
-
-
-def env_int(name: str, default: int) -> int:
-    return int(os.environ.get(name, default))
-
-
-ASCII_WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    levels = []
+    graph = scratch.keep(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    while graph.limit(1).count():
+        both = graph.union(graph.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = scratch.keep(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("m")).select("id", F.least("id", "m").alias("to")))
+        levels.append(least)
+        x, y = least.toDF("xi", "xt"), least.toDF("yi", "yt")
+        moved = graph.join(x, F.col("a") == F.col("xi")).join(y, F.col("b") == F.col("yi")).where("xt <> yt")
+        new = scratch.keep(moved.select(F.least("xt", "yt").alias("a"), F.greatest("xt", "yt").alias("b")).distinct())
+        scratch.drop(graph)
+        graph = new
+    if not levels:
+        return graph.select(F.col("a").alias("id"), F.col("b").alias("root"))
+    root = levels.pop().select("id", F.col("to").alias("root"))
+    for least in reversed(levels):
+        above = root.toDF("ri", "rr")
+        root = scratch.keep(least.join(above, F.col("to") == F.col("ri"), "left").select("id", F.coalesce("rr", "to").alias("root")))
+    return root
