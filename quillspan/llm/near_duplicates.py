@@ -25,12 +25,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import MIX, Scratch, WordHashes, connected, gram_hashes, mixed, only, words_of
+from .shared import MIX, Scratch, bytes_of, connected, gram_hashes, mixed, only, word_hashes
 
 SHINGLE, THRESHOLD, TREES, DEPTH, RECALL = 5, 0.8, 25, 6, 0.9999
-BLOCK = 512
+BLOCK = 128
 CHUNK = 4096
-hashes = WordHashes()
 
 
 def prefix_length(trees: int = TREES, depth: int = DEPTH, threshold: float = THRESHOLD, recall: float = RECALL) -> int:
@@ -43,7 +42,7 @@ def prefix_length(trees: int = TREES, depth: int = DEPTH, threshold: float = THR
 
 def shingles(text: str | None, k: int = SHINGLE) -> np.ndarray:
     """Sorted distinct shingle hashes."""
-    h = hashes.of(words_of(text))
+    h, _, _ = word_hashes(bytes_of(text))
     if 0 < len(h) < k:
         return gram_hashes(h, len(h)) + np.uint64(len(h))
     return np.unique(gram_hashes(h, k))
@@ -180,7 +179,7 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, k: int = SHINGLE, trees:
     family = scratch.keep(connected(scratch, scratch.keep(met)))
     sizes = family.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     members = scratch.keep(family.join(sizes, "root").join(classes.select("rep", "copies"), F.col("id") == F.col("rep")).select("id", "root", "copies", "blocks"))
-    texts = only(docs, "doc_id", "text").join(members, F.col("doc_id") == F.col("id"))
+    texts = only(docs, "doc_id", "text").join(members.hint("merge"), F.col("doc_id") == F.col("id"))  # members grow with the corpus
     sets = texts.select("id", "root", "copies", "blocks", "text").mapInArrow(with_sets(k), "id long, root long, copies long, blocks int, s binary")
     mine = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
     paired = sets.withColumn("side", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -194,3 +193,13 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, k: int = SHINGLE, trees:
     out = signed.select("doc_id", "h1", "h2", "n").join(tied, ["h1", "h2"], "left")
     some = F.col("n") > 0
     return out.select("doc_id", F.when(some, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"), F.when(some, F.col("n_links")).otherwise(0).cast("long").alias("n_links"), F.when(some, F.col("copies")).otherwise(1).cast("long").alias("copies"))
+
+
+def first_docs(docs: DataFrame, **settings) -> DataFrame:
+    """docs with the document of least doc_id of each class; all columns stay as they are. Of repeated rows one stays."""
+    scratch = Scratch(docs.sparkSession, "op9-first")
+    found = join(docs, **settings).groupBy("doc_id").agg(F.min("class_id").alias("class_id"), F.count("*").alias("rows"))
+    drop = scratch.keep(found.where("class_id <> doc_id or rows > 1").select("doc_id", (F.col("class_id") == F.col("doc_id")).alias("repeated")))
+    kept = docs.join(drop.select("doc_id").hint("merge"), "doc_id", "left_anti").select(docs.columns)
+    once = docs.join(drop.where("repeated").select("doc_id"), "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"])
+    return kept.union(once) if drop.where("repeated").limit(1).count() else kept
