@@ -1,0 +1 @@
+"""Read-only analytics over versioned, keyed table snapshots, on Spark."""
