@@ -76,14 +76,14 @@ class Model:
             new = list(words)
         if not new:
             return
-        top, context, length = [], [], []
+        every, length = [], []
         for w in new:
             g = grams(w)
-            top += [bucket(x) for x in g]
-            context += [bucket(x[:-1]) for x in g]
+            every += g
             length.append(len(g))
-        r = self.seen[top]
-        r = np.where(np.isnan(r), self.unseen[context], r)
+        r = self.seen[[bucket(x) for x in every]]
+        neither = np.flatnonzero(np.isnan(r))
+        r[neither] = self.unseen[[bucket(every[i][:-1]) for i in neither]]
         self.words.update(zip(new, np.add.reduceat(r, np.concatenate([[0], np.cumsum(length)[:-1]])).tolist(), strict=True))
 
     def statistics(self, text: str | None) -> tuple[float, float]:
