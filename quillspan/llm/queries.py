@@ -45,8 +45,8 @@ def mixed(docs: DataFrame) -> DataFrame:
 
 
 def op5_image_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The test tables have no images: their vectors are drawn as mosaics of grey cells."""
-    return local_descriptors.search(F.col("id") % 100 == 0, local_descriptors.mosaics(table(spark, sf_dir, "embeddings")))
+    """The test tables have no images: their vectors are drawn as smooth grey images."""
+    return local_descriptors.search(F.col("id") % 100 == 0, local_descriptors.drawn(table(spark, sf_dir, "embeddings")))
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,5 +90,31 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: shipped(f) for f in every}
 
 
+#: SQL of what SQL can express on whole tables. The classifiers, the searches and what parses or decodes are tested against brute force.
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+_OP1 = f"""
+WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+b AS (SELECT DISTINCT CAST(item_id AS VARCHAR) AS item_id, {_WORDS} AS w FROM benchmark),
+bw AS (SELECT DISTINCT item_id, least(len(w), 13) AS n, array_to_string(w[k:k + least(len(w), 13) - 1], ' ') AS g
+       FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 11, 2))) AS k FROM b WHERE len(w) > 0)),
+dw AS (SELECT doc_id, n, p, array_to_string(w[p:p + n - 1], ' ') AS g
+       FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS p FROM d CROSS JOIN (SELECT DISTINCT n FROM bw))),
+h AS (SELECT doc_id, item_id, dw.n AS n, p FROM dw JOIN bw ON dw.n = bw.n AND dw.g = bw.g),
+pos AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + n)) AS q FROM h) GROUP BY doc_id),
+it AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS items FROM (SELECT DISTINCT doc_id, item_id FROM h) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN pos ON pos.doc_id = d.doc_id LEFT JOIN it ON it.doc_id = d.doc_id"""
+_OP10 = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+w13 AS (SELECT doc_id, p, array_to_string(w[p:p + 12], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS p FROM d)),
+f AS (SELECT g, min(doc_id) AS least FROM w13 GROUP BY g),
+x AS (SELECT DISTINCT doc_id, unnest(range(p, p + 13)) AS q FROM w13 JOIN f ON w13.g = f.g WHERE least < doc_id),
+v AS (SELECT doc_id, unnest(w) AS v, generate_subscripts(w, 1) AS q FROM d),
+k AS (SELECT v.doc_id, count(*) AS n, count(x.q) AS r, string_agg(v.v, ' ' ORDER BY v.q) FILTER (WHERE x.q IS NULL) AS kept FROM v LEFT JOIN x ON x.doc_id = v.doc_id AND x.q = v.q GROUP BY v.doc_id)
+SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_words, CAST(coalesce(r, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN k ON k.doc_id = d.doc_id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_decontamination": _OP1, "op10_repeats": _OP10}
