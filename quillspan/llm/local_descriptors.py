@@ -25,9 +25,11 @@ from pyspark.sql import functions as F
 
 from .shared import Scratch, only
 
-POINTS, TESTS, BLOCK, LEAST = 24, 128, 512, 6
+POINTS, TESTS, BLOCK, LEAST = 40, 128, 1024, 10
 SCALES = (1.0, 0.8, 0.64, 0.5)
-DISTANCE = 20
+DISTANCE = 24
+#: Hamming tables, each on its part of the tests.
+PARTS = 4
 RADIUS = 7
 _rng = np.random.default_rng(7)
 PAIRS = np.clip(_rng.normal(0, RADIUS / 2.2, (TESTS, 4)), -RADIUS + 1, RADIUS - 1)
@@ -107,6 +109,11 @@ def descriptors(images: DataFrame) -> DataFrame:
     return only(images, "id", "width", "height", "pixels").mapInArrow(run, "id long, points binary")
 
 
+def parts_of(words: np.ndarray) -> np.ndarray:
+    """A key for each descriptor and table: a word and the table's number."""
+    return (words + (np.arange(PARTS, dtype=np.int64) << 32)).ravel()
+
+
 class Tables:
     """Hamming tables of a block of images."""
 
@@ -117,7 +124,7 @@ class Tables:
         self.points = np.concatenate([np.empty((0, 8)), *parts])
         self.owner = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
         words = self.points[:, 4:].astype(np.int64)
-        keys = (words + (np.arange(4, dtype=np.int64) << 32)).ravel()
+        keys = parts_of(words)
         self.order = np.argsort(keys, kind="stable")
         self.keys = keys[self.order]
         self.words = words
@@ -125,13 +132,13 @@ class Tables:
     def meet(self, points: np.ndarray) -> Iterator[tuple[int, int]]:
         """(id, agreeing matches) of the block's images that the image with these points is a copy of."""
         words = points[:, 4:].astype(np.int64)
-        keys = (words + (np.arange(4, dtype=np.int64) << 32)).ravel()
+        keys = parts_of(words)
         a, b = np.searchsorted(self.keys, keys, "left"), np.searchsorted(self.keys, keys, "right")
         n = b - a
         if not n.any():
             return
-        mine = np.repeat(np.arange(len(keys)), n) // 4
-        theirs = self.order[np.repeat(a - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())] // 4
+        mine = np.repeat(np.arange(len(keys)), n) // PARTS
+        theirs = self.order[np.repeat(a - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())] // PARTS
         pair = np.unique(mine * (len(self.points) + 1) + theirs)
         mine, theirs = pair // (len(self.points) + 1), pair % (len(self.points) + 1)
         near = np.bitwise_count(words[mine] ^ self.words[theirs]).sum(axis=1) <= DISTANCE
@@ -158,14 +165,22 @@ def agreement(p: np.ndarray, q: np.ndarray, which: np.ndarray) -> int:
     return len(set(which[good[best]].tolist()))
 
 
-def search(queries: F.Column, images: DataFrame) -> DataFrame:
-    """(query_id, match_id, inliers): copies among images of those images for which `queries`, a condition on id, holds."""
+MATCHES = "array<struct<query_id:long,inliers:long>>"
+
+
+def matched(queries: F.Column, images: DataFrame) -> DataFrame:
+    """One row for each image: (id, matches), matches holding the queried images that it is a copy of.
+
+    Queries are those images for which `queries`, a condition on id, holds. A row for each image keeps the
+    result as long as the input, however large groups of copies are.
+    """
     spark = images.sparkSession
     scratch = Scratch(spark, "op5")
     index = scratch.keep(descriptors(images))
     asked = index.where(queries)
     blocks = max(1, -(-asked.count() // BLOCK))
-    out = None
+    kind = pa.list_(pa.struct([("query_id", pa.int64()), ("inliers", pa.int64())]))
+    parts = []
     for k in range(blocks):
         rows = asked.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == k).collect()
         shipped = spark.sparkContext.broadcast(Tables([(r["id"], bytes(r["points"])) for r in rows if r["id"] is not None]))
@@ -176,17 +191,27 @@ def search(queries: F.Column, images: DataFrame) -> DataFrame:
                 found = []
                 for image, data in zip(batch.column("id").to_pylist(), batch.column("points"), strict=True):
                     data = data.as_py()
-                    if data and len(tables.ids):
-                        found += [(q, image, n) for q, n in tables.meet(np.frombuffer(data).reshape(-1, 8)) if q != image]
-                yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in range(3)], ["query_id", "match_id", "inliers"])
+                    met = tables.meet(np.frombuffer(data).reshape(-1, 8)) if data and len(tables.ids) else ()
+                    found.append([{"query_id": q, "inliers": n} for q, n in sorted(met) if q != image])
+                yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(found, kind)], ["id", "matches"])
+
+        parts.append(index.mapInArrow(run, f"id long, matches {MATCHES}"))
+    if blocks == 1:
+        return parts[0]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.union(part)
+    return out.groupBy("id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("matches")))).alias("matches"))
 
-        part = index.mapInArrow(run, "query_id long, match_id long, inliers long")
-        out = part if out is None else out.union(part)
-    return out
+
+def search(queries: F.Column, images: DataFrame) -> DataFrame:
+    """(query_id, match_id, inliers): the same as pairs."""
+    pairs = matched(queries, images).select(F.col("id").alias("match_id"), F.inline("matches"))
+    return pairs.select("query_id", "match_id", "inliers")
 
 
-def mosaics(vectors: DataFrame, cell: int = 8) -> DataFrame:
-    """Images from vectors(vec_id, embedding): the vector as a square grid of grey cells, spread to the full range."""
+def drawn(vectors: DataFrame, cell: int = 8) -> DataFrame:
+    """Images from vectors(vec_id, embedding): the vector as a square grid of grey values, spread to the full range and enlarged smoothly."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -197,7 +222,7 @@ def mosaics(vectors: DataFrame, cell: int = 8) -> DataFrame:
                 x = np.nan_to_num(x[: side * side].reshape(side, side))
                 spread = np.abs(x).max() if side else 0
                 grey = np.rint(127.5 + 127.5 * x / spread).astype(np.uint8) if spread else np.zeros((side, side), np.uint8)
-                image = np.kron(grey, np.ones((cell, cell), np.uint8))
+                image = np.rint(scaled(grey.astype(float), cell)).astype(np.uint8) if side else grey
                 sizes.append(side * cell)
                 data.append(image.tobytes())
             yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array(sizes, pa.int32()), pa.array(sizes, pa.int32()), pa.array(data, pa.binary())], ["id", "width", "height", "pixels"])
