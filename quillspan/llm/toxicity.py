@@ -1,12 +1,13 @@
 """Operator 6, toxicity: class-conditional Kneser-Ney models of how words are spelt.
 
 The models are over the characters of a word, so that a new form of a known insult is still known by
-its stem. The top order keeps absolute-discounted counts for each class; all orders below are shared:
+its stem. The top order keeps discounted counts for each class, with a discount for each of the counts 1, 2
+and 3 or more (modified Kneser-Ney) that leaves little of the rarest; all orders below are shared:
 their continuation counts come from every document, labelled or not, so that a rare expression gets
 the same backoff probability from both models and weighs little. A word's log-likelihood ratio
-compares the two models; a text's statistics are the mean ratio a word (length-normalised) and the mean
-over its two most telling words, each cut off at `CUT` so that no single odd word decides. A logistic
-curve, fitted on training rows that the models have not seen, turns both into a probability.
+compares the two models; a text's statistics are the mean ratio a word (length-normalised) and the means
+over its `TOPS` most telling words, each cut off at `CUT` so that no single odd word decides. A logistic
+curve, fitted on training rows that the models have not seen, turns them into a probability.
 
 The class models learn from at most `most_rows` labelled rows, those with the least hash of doc_id.
 The shared counts cover all documents. What is sent to the workers has a fixed size: n-grams are
@@ -33,7 +34,11 @@ from pyspark.sql import functions as F
 from .shared import Scratch, only
 
 MOST_ROWS, CURVE_SHARE = 20_000, 0.3
-ORDER, DISCOUNT, BUCKETS, CUT = 5, 0.75, 1 << 20, 10.0
+ORDER, DISCOUNT, BUCKETS, CUT = 5, 0.75, 1 << 20, 8.0
+#: Of the class counts 0, 1, 2, and 3 or more: an n-gram that one labelled text has says next to nothing.
+CLASS_DISCOUNTS = np.array([0.0, 0.95, 1.9, 2.85])
+TOPS = (1, 3, 9)
+STATISTICS = 1 + len(TOPS)
 WORD = re.compile(r"[^\W_]+")
 PAD, END = "^", "$"
 CACHE = 300_000
@@ -63,7 +68,7 @@ class Model:
 
     seen: np.ndarray
     unseen: np.ndarray
-    curve: tuple[float, ...] = (0.0, 0.0, 0.0)
+    curve: tuple[float, ...] = (0.0,) * (STATISTICS + 1)
     words: dict[str, float] = field(default_factory=dict)
 
     def __getstate__(self):
@@ -86,19 +91,22 @@ class Model:
         r[neither] = self.unseen[[bucket(every[i][:-1]) for i in neither]]
         self.words.update(zip(new, np.add.reduceat(r, np.concatenate([[0], np.cumsum(length)[:-1]])).tolist(), strict=True))
 
-    def statistics(self, text: str | None) -> tuple[float, float]:
-        words = tokens(text)
+    def statistics(self, text: str | None) -> np.ndarray:
+        out, words = np.zeros(STATISTICS), tokens(text)
         if not words:
-            return 0.0, 0.0
+            return out
         self.learn_words(set(words))
         r = np.fromiter(map(self.words.__getitem__, words), float, len(words))
-        top = np.minimum(np.partition(r, len(r) - 2)[-2:], CUT) if len(r) > 1 else np.array([min(r[0], CUT), 0.0])
-        return float(r.mean()), float(top.mean())
+        most = min(len(r), max(TOPS))
+        top = np.zeros(max(TOPS))
+        top[:most] = np.minimum(np.sort(np.partition(r, len(r) - most)[-most:])[::-1], CUT)
+        out[0], out[1:] = r.mean(), [top[:k].mean() for k in TOPS]
+        return out
 
     def score(self, text: str | None) -> float:
-        a, b, c = self.curve
-        x, y = self.statistics(text) if a or b else (0.0, 0.0)
-        return float(1 / (1 + np.exp(-np.clip(a * x + b * y + c, -30, 30))))
+        weights, intercept = np.array(self.curve[:-1]), self.curve[-1]
+        x = weights @ self.statistics(text) if weights.any() else 0.0
+        return float(1 / (1 + np.exp(-np.clip(x + intercept, -30, 30))))
 
 
 def lower_orders(levels: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]) -> np.ndarray:
@@ -122,10 +130,11 @@ def ratios(top: tuple[np.ndarray, ...], low: np.ndarray) -> Model:
     p, weight = [], []
     for c in counts:
         c = c.astype(float)
-        total, kinds = np.bincount(context, c, BUCKETS), np.bincount(context[c > 0], minlength=BUCKETS)
-        w = np.where(total > 0, DISCOUNT * kinds / np.maximum(total, 1), 1.0)
+        taken = CLASS_DISCOUNTS[np.minimum(c, 3).astype(int)]
+        total = np.bincount(context, c, BUCKETS)
+        w = np.where(total > 0, np.bincount(context, taken, BUCKETS) / np.maximum(total, 1), 1.0)
         weight.append(w)
-        p.append(np.maximum(c - DISCOUNT, 0) / np.maximum(total[context], 1) + w[context] * np.maximum(low[suffix], 1e-9))
+        p.append((c - taken) / np.maximum(total[context], 1) + w[context] * np.maximum(low[suffix], 1e-9))
     seen = np.full(BUCKETS, np.nan, np.float32)
     seen[gram] = np.log(p[1] / p[0])
     return Model(seen, np.log(weight[1] / weight[0]).astype(np.float32))
@@ -202,7 +211,7 @@ def train(docs: DataFrame, labels: DataFrame, learn: F.Column, most_rows: int =
     rows = sample(docs, labels, "toxic", learn, most_rows, scratch)
     per = {r["curve"]: r for r in rows.groupBy("curve").agg(F.count("*").alias("n"), F.sum("y").alias("t")).collect()}
     n, toxic = sum(r["n"] for r in per.values()), sum(r["t"] for r in per.values())
-    empty = Model(np.full(BUCKETS, np.nan, np.float32), np.zeros(BUCKETS, np.float32), (0.0, 0.0, float(np.log((toxic + 0.5) / (n - toxic + 0.5)))))
+    empty = Model(np.full(BUCKETS, np.nan, np.float32), np.zeros(BUCKETS, np.float32), (0.0,) * STATISTICS + (float(np.log((toxic + 0.5) / (n - toxic + 0.5))),))
     if len(per) < 2 or not 0 < per[False]["t"] < per[False]["n"]:
         return empty
     classes = rows.where("not curve").select("text", "y").mapInArrow(class_grams, "g string, c0 long, c1 long").groupBy("g").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1"))
@@ -218,15 +227,16 @@ def train(docs: DataFrame, labels: DataFrame, learn: F.Column, most_rows: int =
     top = arrays(every.where("c0 + c1 > 0").groupBy(bucket_of("g").alias("b")).agg(F.min(bucket_of(left(ORDER - 1))), F.min(bucket_of(right(ORDER - 1))), F.sum("c0"), F.sum("c1")))
     model = ratios(top, lower_orders(levels))
     model.curve = empty.curve
+    names = [f"s{i}" for i in range(STATISTICS)]
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = [model.statistics(t.as_py()) for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in got], pa.float64()), pa.array([x for _, x in got], pa.float64()), batch.column("y")], ["a", "b", "y"])
+            got = np.array([model.statistics(t.as_py()) for t in batch.column("text")]).reshape(-1, STATISTICS)
+            yield pa.RecordBatch.from_arrays([*map(pa.array, got.T), batch.column("y")], [*names, "y"])
 
-    a, b, y = arrays(rows.where("curve").select("text", "y").mapInArrow(measure, "a double, b double, y int"))
-    order = np.lexsort((y, b, a))
-    model.curve = logistic(np.column_stack([a, b])[order], y[order].astype(float))
+    *x, y = arrays(rows.where("curve").select("text", "y").mapInArrow(measure, ", ".join(f"{c} double" for c in names) + ", y int"))
+    order = np.lexsort((y, *x))
+    model.curve = logistic(np.column_stack(x)[order], y[order].astype(float))
     return model
 
 
