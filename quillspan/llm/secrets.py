@@ -2,10 +2,11 @@
 
 Each text is a work item. A layer is scanned by the base patterns, then searched for encoded parts:
 URL escapes, Unicode escapes, base64 and hexadecimal runs (whose bytes may be gzip, zlib or bzip2
-streams). Every part that decodes becomes a new work item unless its content was seen before in this
-text (which ends cycles) or it decodes to itself. Escapes keep a map from each decoded character to the
-characters that it came from; the characters of a base64, hexadecimal or compressed part all map to
-the whole part. What is found in a layer is reported in the outermost text's code points.
+streams). Every part that decodes becomes a new work item; within one part, equal content is taken once
+(which ends cycles), and what a part holds is kept for its equals, which are reported at their own
+places. Escapes keep a map from each decoded character to the characters that it came from; the
+characters of a base64, hexadecimal or compressed part all map to the whole part. What is found in a
+layer is reported in the outermost text's code points.
 
 Decoded sizes are bounded by `MOST_GROWTH` for a compressed stream that swells beyond reason; such a
 stream's first bytes are scanned and the text is marked `swollen`.
@@ -127,6 +128,44 @@ def _bytes_parts(text: str) -> Iterator[tuple[int, int, bytes]]:
         yield m.start(), m.end(), bytes.fromhex(m[0])
 
 
+def _digest(item: str | bytes) -> bytes:
+    return hashlib.blake2b(item.encode("utf-8", "surrogatepass") if isinstance(item, str) else item, digest_size=16).digest()
+
+
+def _inner(item: str | bytes, swollen: list[bool]) -> Iterator[str | bytes]:
+    """What a text's escapes and parts, or a part's bytes, decode to."""
+    if isinstance(item, str):
+        if undone := _escapes(item):
+            yield undone[0]
+        for _, _, data in _bytes_parts(item):
+            yield data
+        return
+    data, over = _unpack(item)
+    swollen[0] |= over
+    if (text := _readable(data)) is not None:
+        yield text
+
+
+def _kinds(part: bytes, known: dict[bytes, set[int]], swollen: list[bool]) -> set[int]:
+    """The kinds of all that a part holds in any layer; `known` has what equal parts gave."""
+    first = _digest(part)
+    if first not in known:
+        kinds, seen, work = set(), set(), [iter([part])]
+        while work and len(kinds) < len(KINDS):
+            item = next(work[-1], None)
+            if item is None:
+                work.pop()
+                continue
+            digest = (isinstance(item, str), _digest(item))
+            if digest not in seen:
+                seen.add(digest)
+                if isinstance(item, str):
+                    kinds |= {kind for _, kind, _ in base_spans(item)}
+                work.append(_inner(item, swollen))
+        known[first] = kinds
+    return known[first]
+
+
 def scan(text: str | None) -> tuple[list[Span], list[Span], bool]:
     """Base spans, all spans, and whether a stream swelled beyond MOST_GROWTH; both lists sorted by start, kind, end."""
     if not text:
@@ -135,37 +174,27 @@ def scan(text: str | None) -> tuple[list[Span], list[Span], bool]:
     if not HINT.search(text):
         return base, base, False
     found = set(base)
-    seen = {hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=16).digest()}
-    work: deque[tuple[str, list[tuple[int, int]] | tuple[int, int] | None]] = deque([(text, None)])
-    swollen = False
+    known: dict[bytes, set[int]] = {}
+    swollen = [False]
+    work: deque[tuple[str, list[tuple[int, int]] | None]] = deque([(text, None)])
 
     def outer(where, a: int, b: int) -> tuple[int, int]:
-        if where is None:
-            return a, b
-        if isinstance(where, tuple):
-            return where
-        return where[a][0], where[b - 1][1]
-
-    def push(layer: str, where) -> None:
-        digest = hashlib.blake2b(layer.encode("utf-8", "replace"), digest_size=16).digest()
-        if digest not in seen:
-            seen.add(digest)
-            for a, kind, b in base_spans(layer):
-                x, y = outer(where, a, b)
-                found.add((x, kind, y))
-            work.append((layer, where))
+        return (a, b) if where is None else (where[a][0], where[b - 1][1])
 
     while work:
         layer, where = work.popleft()
+        if where is not None:
+            for a, kind, b in base_spans(layer):
+                x, y = outer(where, a, b)
+                found.add((x, kind, y))
+        # what is undone is shorter, so this ends
         if undone := _escapes(layer):
             inner, source = undone
-            push(inner, where if isinstance(where, tuple) else [outer(where, a, b) for a, b in source])
+            work.append((inner, [outer(where, a, b) for a, b in source]))
         for a, b, data in _bytes_parts(layer):
-            data, over = _unpack(data)
-            swollen |= over
-            if (inner := _readable(data)) is not None:
-                push(inner, outer(where, a, b))
-    return base, sorted(found), swollen
+            x, y = outer(where, a, b)
+            found |= {(x, kind, y) for kind in _kinds(data, known, swollen)}
+    return base, sorted(found), swollen[0]
 
 
 def joined(spans: list[Span]) -> str:

@@ -232,6 +232,16 @@ def test_secrets(spark, docs, empty):
     assert secrets.mask_docs(docs).columns == docs.columns
 
 
+def test_secrets_in_repeated_parts():
+    part = base64.b64encode(b"password=hunter2hunter2").decode()
+    packed = base64.b64encode(gzip.compress(part.encode(), mtime=0)).decode()
+    for p in (part, part.encode().hex(), packed, packed.encode().hex()):
+        text = f"a {p} b {p} c {p}"
+        assert p not in secrets.masked(text) and secrets.masked(text).count("[SECRET]") == 3
+    # a part that also stands within another one
+    assert secrets.masked(f"{packed} and {part}") == secrets.masked(f"{part} and {packed}") == "[SECRET] and [SECRET]"
+
+
 def test_html(spark):
     fitted = html_extraction.models()
     rng = random.Random(123)
