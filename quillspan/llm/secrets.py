@@ -8,8 +8,9 @@ places. Escapes keep a map from each decoded character to the characters that it
 characters of a base64, hexadecimal or compressed part all map to the whole part. What is found in a
 layer is reported in the outermost text's code points.
 
-Decoded sizes are bounded by `MOST_GROWTH` for a compressed stream that swells beyond reason; such a
-stream's first bytes are scanned and the text is marked `swollen`.
+Streams are looked for anywhere in a part's bytes and unwrapped again while they hold streams. No size
+is cut: what swells beyond `MOST_GROWTH` goes to a temporary file and is scanned in pieces that end where
+no pattern can match, and the text is marked `swollen`.
 
 Defined results: null is the empty text and has no spans; repeated rows are scanned alike; overlapping
 spans of different kinds all stay; a decoded span that equals a base span of its kind is reported once.
@@ -22,7 +23,9 @@ import base64
 import binascii
 import bz2
 import hashlib
+import mmap
 import re
+import tempfile
 import zlib
 from collections import deque
 from collections.abc import Iterator
@@ -46,6 +49,14 @@ ONE_ESCAPE = re.compile(r"\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})|&#x([0-9A-Fa-f
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 HEX_BYTES = re.compile(r"(?<![0-9A-Fa-f])(?:[0-9A-Fa-f]{2}){12,}(?![0-9A-Fa-f])")
 HINT = re.compile(r"%[0-9A-Fa-f]{2}|\\[ux][0-9A-Fa-f]{2}|&#x?[0-9A-Fa-f]{1,6};|[A-Za-z0-9+/_-]{16}")
+#: Starts of gzip, zlib and bzip2 streams, and what may stand between two members.
+STREAM = re.compile(rb"\x1f\x8b\x08|x[\x01^\x9c\xda]|BZh[1-9]")
+PADDING = re.compile(rb"\0*")
+#: The shortest secret has 14 characters.
+PRINTED = re.compile(rb"[\t\n\r -~]{14,}")
+#: What stands in no pattern, so that a text may be parted there.
+APART = re.compile(rb"[^A-Za-z0-9+/_.=%\\&#;:\"' \t\r\n-]")
+CHUNK = 1 << 16
 MOST_GROWTH = 1 << 24
 
 Span = tuple[int, int, int]  # start, index of kind, end
@@ -95,25 +106,73 @@ def _escapes(text: str) -> tuple[str, list[tuple[int, int]]] | None:
     return "".join(out), where
 
 
-def _unpack(data: bytes) -> tuple[bytes, bool]:
-    """Decompressed data and whether it is more than MOST_GROWTH; the data themselves if they are no stream."""
-    for magic, make in ((b"\x1f\x8b", lambda: zlib.decompressobj(31)), (b"\x78", zlib.decompressobj), (b"BZh", bz2.BZ2Decompressor)):
-        if data.startswith(magic):
-            try:
-                got = make().decompress(data, MOST_GROWTH)
-            except (zlib.error, OSError, EOFError, ValueError):
-                continue
-            return got, len(got) >= MOST_GROWTH
-    return data, False
-
-
-def _readable(data: bytes) -> str | None:
+def _stream(data: bytes | mmap.mmap, at: int, sink) -> int | None:
+    """Writes what the stream at a place holds and returns its end, or None if it is cut or damaged."""
+    view = memoryview(data)
+    machine = bz2.BZ2Decompressor() if data[at : at + 1] == b"B" else zlib.decompressobj(47)
+    feed = b""
+    while not machine.eof:
+        wants = not feed and getattr(machine, "needs_input", True)
+        if wants:
+            feed = bytes(view[at : at + CHUNK])
+            at += len(feed)
+        over = wants and not feed
+        try:
+            got = machine.decompress(feed, CHUNK)
+        except (zlib.error, OSError, EOFError, ValueError):
+            return None
+        feed = getattr(machine, "unconsumed_tail", b"")
+        sink.write(got)
+        if over and not got:
+            return None
+    return at - len(machine.unused_data)
+
+
+def _streams(data: bytes | mmap.mmap, swollen: list[bool]) -> Iterator[tuple[int, int, bytes | mmap.mmap]]:
+    """Start, end and content of each compressed stream in data; members that follow each other are one stream."""
+    at = 0
+    while m := STREAM.search(data, at):
+        start = end = m.start()
+        with tempfile.SpooledTemporaryFile(MOST_GROWTH) as sink:
+            while m and (after := _stream(data, end, sink)) is not None:
+                end, tail = after, PADDING.match(data, after).end()
+                m = STREAM.match(data, tail)
+                if m and m[0][:1] == data[start : start + 1]:
+                    end = tail
+                else:
+                    m = None
+            at = max(end, start + 1) if m is None else end + 1
+            if size := sink.tell():
+                if size > MOST_GROWTH:
+                    swollen[0] = True
+                    sink.rollover()
+                    sink.flush()
+                    out = mmap.mmap(sink.fileno(), size, access=mmap.ACCESS_READ)
+                else:
+                    sink.seek(0)
+                    out = sink.read()
+                yield start, len(data) if m else end, out
+
+
+def _readable(data: bytes) -> bool:
     try:
-        text = data.decode()
+        data.decode()
     except UnicodeDecodeError:
-        return None
+        return False
     odd = sum(c < 32 and c not in (9, 10, 13) or c == 127 for c in data)
-    return text if text and odd * 20 <= len(data) else None
+    return odd * 20 <= len(data)
+
+
+def _texts(data: bytes | mmap.mmap) -> Iterator[str]:
+    """The stretches of data that patterns can match, all of which are ASCII; long ones in pieces that part no match."""
+    for m in PRINTED.finditer(data):
+        a, end = m.span()
+        while end - a > MOST_GROWTH:
+            cut = APART.search(data, a + MOST_GROWTH, end)
+            b = cut.start() if cut else end
+            yield data[a:b].decode("ascii")
+            a = b
+        yield data[a:end].decode("ascii")
 
 
 def _bytes_parts(text: str) -> Iterator[tuple[int, int, bytes]]:
@@ -128,11 +187,11 @@ def _bytes_parts(text: str) -> Iterator[tuple[int, int, bytes]]:
         yield m.start(), m.end(), bytes.fromhex(m[0])
 
 
-def _digest(item: str | bytes) -> bytes:
+def _digest(item: str | bytes | mmap.mmap) -> bytes:
     return hashlib.blake2b(item.encode("utf-8", "surrogatepass") if isinstance(item, str) else item, digest_size=16).digest()
 
 
-def _inner(item: str | bytes, swollen: list[bool]) -> Iterator[str | bytes]:
+def _inner(item: str | bytes | mmap.mmap, swollen: list[bool]) -> Iterator[str | bytes | mmap.mmap]:
     """What a text's escapes and parts, or a part's bytes, decode to."""
     if isinstance(item, str):
         if undone := _escapes(item):
@@ -140,10 +199,9 @@ def _inner(item: str | bytes, swollen: list[bool]) -> Iterator[str | bytes]:
         for _, _, data in _bytes_parts(item):
             yield data
         return
-    data, over = _unpack(item)
-    swollen[0] |= over
-    if (text := _readable(data)) is not None:
-        yield text
+    yield from _texts(item)
+    for _, _, data in _streams(item, swollen):
+        yield data
 
 
 def _kinds(part: bytes, known: dict[bytes, set[int]], swollen: list[bool]) -> set[int]:

@@ -1,6 +1,7 @@
 """The operators against brute force on small tables with nulls, empties, ties, repeated rows, long texts and extra columns."""
 
 import base64
+import bz2
 import collections
 import gzip
 import hashlib
@@ -242,6 +243,23 @@ def test_secrets_in_repeated_parts():
     assert secrets.masked(f"{packed} and {part}") == secrets.masked(f"{part} and {packed}") == "[SECRET] and [SECRET]"
 
 
+def test_secrets_in_nested_streams():
+    plain = b"see password=hunter2hunter2 end"
+    member = lambda x: gzip.compress(x, mtime=0)
+    cases = [member(member(plain)), zlib.compress(bz2.compress(member(plain))), member(b"first ") + member(plain), bz2.compress(b"first ") + bz2.compress(plain), member(plain[:12]) + member(plain[12:])]
+    # beyond MOST_GROWTH, cut within a character before, as well as a stream within
+    cases += [member("é".encode() * 9_000_000 + b"x" + plain), member(b" " * (secrets.MOST_GROWTH - 12) + plain), zlib.compress(member(b"-. " * 7_000_000 + plain))]
+    for data in cases:
+        text = base64.b64encode(data).decode()
+        assert secrets.masked(f"a {text} b") == "a [SECRET] b"
+    # pieces of a long stretch lose nothing where they meet
+    for n in range(-40, 3):
+        long = b"a," * (secrets.MOST_GROWTH // 2) + b"a" * 50
+        at = secrets.MOST_GROWTH + n
+        if n % 13 == 0:
+            assert any("password=hunter2hunter2" in x for x in secrets._texts(long[:at] + b" password=hunter2hunter2 " + long[at:]))
+
+
 def test_html(spark):
     fitted = html_extraction.models()
     rng = random.Random(123)
