@@ -5,8 +5,10 @@ URL escapes, Unicode escapes, base64 and hexadecimal runs (whose bytes may be gz
 streams). Every part that decodes becomes a new work item; within one part, equal content is taken once
 (which ends cycles), and what a part holds is kept for its equals, which are reported at their own
 places. Escapes keep a map from each decoded character to the characters that it came from; the
-characters of a base64, hexadecimal or compressed part all map to the whole part. What is found in a
-layer is reported in the outermost text's code points.
+characters of a base64, hexadecimal or compressed part all map to the whole part. A base64 run may be
+wrapped over lines and may begin or end with foreign characters, as after "key/": it is decoded at all
+four alignments, and the part is what reads as one, out to the next / - _ or + and of the lines that hold
+what was found. What is found in a layer is reported in the outermost text's code points.
 
 Streams are looked for anywhere in a part's bytes and unwrapped again while they hold streams. No size
 is cut: what swells beyond `MOST_GROWTH` goes to a temporary file and is scanned in pieces that end where
@@ -20,15 +22,17 @@ Extra columns are ignored.
 from __future__ import annotations
 
 import base64
-import binascii
 import bz2
 import hashlib
 import mmap
 import re
 import tempfile
 import zlib
+from bisect import bisect_left, bisect_right
 from collections import deque
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import cached_property, partial
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -47,19 +51,28 @@ PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 ESCAPE = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}|&#x?[0-9A-Fa-f]{1,6};)+")
 ONE_ESCAPE = re.compile(r"\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})|&#x([0-9A-Fa-f]{1,6});|&#([0-9]{1,7});")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+#: Base64 runs with only line breaks between them, and such a run's lines.
+WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]++(?:(?:\r\n?|\n)[ \t]*+[A-Za-z0-9+/_-]++)++={0,2}")
+LINE = re.compile(r"[A-Za-z0-9+/_=-]+")
+#: Where a foreign start or end may meet a run.
+MARK = re.compile(r"[/_+-]")
+PLAIN = str.maketrans("-_", "+/")
 HEX_BYTES = re.compile(r"(?<![0-9A-Fa-f])(?:[0-9A-Fa-f]{2}){12,}(?![0-9A-Fa-f])")
-HINT = re.compile(r"%[0-9A-Fa-f]{2}|\\[ux][0-9A-Fa-f]{2}|&#x?[0-9A-Fa-f]{1,6};|[A-Za-z0-9+/_-]{16}")
+HINT = re.compile(r"%[0-9A-Fa-f]{2}|\\[ux][0-9A-Fa-f]{2}|&#x?[0-9A-Fa-f]{1,6};|[A-Za-z0-9+/_-]{16}|[A-Za-z0-9+/_-][\r\n]{1,2}[ \t]*[A-Za-z0-9+/_-]")
 #: Starts of gzip, zlib and bzip2 streams, and what may stand between two members.
 STREAM = re.compile(rb"\x1f\x8b\x08|x[\x01^\x9c\xda]|BZh[1-9]")
 PADDING = re.compile(rb"\0*")
 #: The shortest secret has 14 characters.
 PRINTED = re.compile(rb"[\t\n\r -~]{14,}")
+TEXT = re.compile(rb"(?:[\t\n\r -~]|[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}|[\xf0-\xf4][\x80-\xbf]{3})++")
 #: What stands in no pattern, so that a text may be parted there.
 APART = re.compile(rb"[^A-Za-z0-9+/_.=%\\&#;:\"' \t\r\n-]")
 CHUNK = 1 << 16
 MOST_GROWTH = 1 << 24
 
 Span = tuple[int, int, int]  # start, index of kind, end
+Content = str | bytes | mmap.mmap
+Where = tuple[int, int] | Callable[[], list[tuple[int, int]]]
 
 
 def base_spans(text: str) -> list[Span]:
@@ -175,29 +188,88 @@ def _texts(data: bytes | mmap.mmap) -> Iterator[str]:
         yield data[a:end].decode("ascii")
 
 
-def _bytes_parts(text: str) -> Iterator[tuple[int, int, bytes]]:
-    for m in BASE64.finditer(text):
-        body = m[0].rstrip("=")
-        # a run may start or end with characters that do not belong to it, as after "key/"
-        try:
-            yield m.start(), m.end(), base64.b64decode(body.replace("-", "+").replace("_", "/") + "=" * (-len(body) % 4))
-        except (binascii.Error, ValueError):
-            continue
+class Run:
+    """A base64 run, maybe over several lines, that is between two places of a text."""
+
+    def __init__(self, text: str, a: int, b: int):
+        self.lines = [m.span() for m in LINE.finditer(text, a, b)]
+        self.first = [0, *accumulate(y - x for x, y in self.lines[:-1])]
+        self.body = "".join(text[x:y] for x, y in self.lines).rstrip("=")
+
+    @cached_property
+    def marks(self) -> list[int]:
+        return [m.start() for m in MARK.finditer(self.body)]
+
+    def line(self, i: int) -> int:
+        return bisect_right(self.first, i) - 1
+
+    def place(self, i: int) -> int:
+        return self.lines[k := self.line(i)][0] + i - self.first[k]
+
+    def chars(self, shift: int, a: int, b: int) -> tuple[int, int]:
+        """The run's characters that bytes a to b come from."""
+        return shift + a // 3 * 4 + a % 3, min(shift + (b - 1) // 3 * 4 + (b - 1) % 3 + 2, len(self.body))
+
+    def bounds(self, shift: int, a: int, b: int, size: int) -> tuple[int, int]:
+        """Where bytes a to b come from, up to the next boundaries; lines do not count."""
+        x, y = self.chars(shift, a, b)
+        k = bisect_left(self.marks, x)
+        low = self.place(self.marks[k - 1] + 1) if k and (a or shift) else self.lines[0][0]
+        k = bisect_left(self.marks, y)
+        high = self.place(self.marks[k]) if k < len(self.marks) and size - b > 2 else self.lines[-1][1]
+        return low, high
+
+    def range(self, shift: int, a: int, b: int, low: int, high: int) -> tuple[int, int]:
+        """The lines that bytes a to b come from, between bounds."""
+        x, y = self.chars(shift, a, b)
+        return max(low, self.lines[self.line(x)][0]), min(high, self.lines[self.line(y - 1)][1])
+
+    def ranges(self, shift: int, a: int, b: int, low: int, high: int) -> list[tuple[int, int]]:
+        return [self.range(shift, i, i + 1, low, high) for i in range(a, b)]
+
+    def parts(self, swollen: list[bool]) -> Iterator[tuple[Content, Where]]:
+        """What the run holds at each of the four alignments, as a foreign start may shift it."""
+        for shift in range(4):
+            body = self.body[shift : len(self.body) - ((len(self.body) - shift) % 4 == 1)]
+            data = base64.b64decode(body.translate(PLAIN) + "=" * (-len(body) % 4))
+            if PRINTED.search(data):
+                for t in [(0, len(data))] if not shift and _readable(data) else [m.span() for m in TEXT.finditer(data)]:
+                    for m in PRINTED.finditer(data, *t):
+                        bounds = self.bounds(shift, *t, len(data))
+                        if len(self.lines) == 1:
+                            yield m[0], bounds
+                        else:
+                            yield m[0].decode("ascii"), partial(self.ranges, shift, *m.span(), *bounds)
+            if STREAM.search(data):
+                for a, b, held in _streams(data, swollen):
+                    yield held, self.range(shift, a, b, *self.bounds(shift, a, b, len(data)))
+
+
+def _parts(text: str, swollen: list[bool]) -> Iterator[tuple[Content, Where]]:
+    """What base64 and hexadecimal runs hold, each with its place, or for a text over several lines with a call for each character's."""
+    end = 0
+    wrapped = [m.span() for m in WRAPPED.finditer(text) if m.end() - m.start() >= 20] if "\n" in text or "\r" in text else []
+    for a, b in [*wrapped, (len(text), len(text))]:
+        for m in BASE64.finditer(text, end, a):
+            yield from Run(text, *m.span()).parts(swollen)
+        if a < b:
+            yield from Run(text, a, b).parts(swollen)
+        end = b
     for m in HEX_BYTES.finditer(text):
-        yield m.start(), m.end(), bytes.fromhex(m[0])
+        yield bytes.fromhex(m[0]), m.span()
 
 
-def _digest(item: str | bytes | mmap.mmap) -> bytes:
+def _digest(item: Content) -> bytes:
     return hashlib.blake2b(item.encode("utf-8", "surrogatepass") if isinstance(item, str) else item, digest_size=16).digest()
 
 
-def _inner(item: str | bytes | mmap.mmap, swollen: list[bool]) -> Iterator[str | bytes | mmap.mmap]:
+def _inner(item: str | bytes | mmap.mmap, swollen: list[bool]) -> Iterator[Content]:
     """What a text's escapes and parts, or a part's bytes, decode to."""
     if isinstance(item, str):
         if undone := _escapes(item):
             yield undone[0]
-        for _, _, data in _bytes_parts(item):
-            yield data
+        for held, _ in _parts(item, swollen):
+            yield held
         return
     yield from _texts(item)
     for _, _, data in _streams(item, swollen):
@@ -249,9 +321,12 @@ def scan(text: str | None) -> tuple[list[Span], list[Span], bool]:
         if undone := _escapes(layer):
             inner, source = undone
             work.append((inner, [outer(where, a, b) for a, b in source]))
-        for a, b, data in _bytes_parts(layer):
-            x, y = outer(where, a, b)
-            found |= {(x, kind, y) for kind in _kinds(data, known, swollen)}
+        for held, at in _parts(layer, swollen):
+            if callable(at):
+                work.append((held, [outer(where, a, b) for a, b in at()]))
+            else:
+                x, y = outer(where, *at)
+                found |= {(x, kind, y) for kind in _kinds(held, known, swollen)}
     return base, sorted(found), swollen[0]
 
 

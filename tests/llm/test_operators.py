@@ -260,6 +260,31 @@ def test_secrets_in_nested_streams():
             assert any("password=hunter2hunter2" in x for x in secrets._texts(long[:at] + b" password=hunter2hunter2 " + long[at:]))
 
 
+def test_secrets_in_wrapped_and_foreign_runs():
+    plain = b"see password=hunter2hunter2 and so on, \xc3\xa9"
+    for data in (plain, gzip.compress(plain, mtime=0), plain * 5):
+        part = base64.b64encode(data).decode().rstrip("=")
+        for before in ("host/cb/", "key-", "id_", "k/", "xyz_"):
+            assert secrets.masked(f"a {before}{part} b") == f"a {before}[SECRET] b"
+        for before in ("abc", "a-b/c_"):
+            assert part not in secrets.masked(f"a {before}{part} b")
+    rng = random.Random(3)
+    long = "".join(rng.choice("abc def") for _ in range(300)).encode()
+    for data in (long[:44] + b" password=hunter2hunter2 " + long, gzip.compress(rng.randbytes(300) + plain, mtime=0), zlib.compress(rng.randbytes(99) + plain)):
+        part = base64.b64encode(data).decode()
+        for width in (10, 64, 76):
+            for br in ("\n", "\r\n", "\n  "):
+                lines = [part[i : i + width] for i in range(0, len(part), width)]
+                text = f"Begin{br}" + br.join(lines) + f"{br}. End"
+                got = [(a, b) for a, k, b in secrets.scan(text)[1] if k == 0]
+                assert got and secrets.masked(text).startswith("Begin") and secrets.masked(text).endswith(". End")
+                if data[0] > 100 or data[0] < 32:
+                    assert not any(x in secrets.masked(text) for x in lines if len(x) > 4)
+    # over lines, what one line holds is that line's
+    one = base64.b64encode(b"password=hunter2hunter2!").decode()
+    assert secrets.masked(f"{one}\n{one}") == "[SECRET]\n[SECRET]"
+
+
 def test_html(spark):
     fitted = html_extraction.models()
     rng = random.Random(123)
