@@ -11,8 +11,8 @@ The models are fitted once a process, on pages that `made_page` writes with know
 them, from a fixed seed.
 
 Defined results: null and empty pages give the empty text; tags that are never closed end with their
-parent; what never opens is ignored; a page without any element is one block; scripts, styles,
-templates and the head never count. Repeated rows are extracted alike. Extra columns are ignored.
+parent, the head at what only the body may hold, scripts and styles with the page; what never opens is
+ignored; a page without any element is one block; scripts, styles, templates and the head never count. Repeated rows are extracted alike. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -37,11 +37,14 @@ KINDS = {"html body": 1, "main article": 2, "section": 3, "div center td th tr t
 KIND = {tag: k for tags, k in KINDS.items() for tag in tags.split()}
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose content is no text of the page.
-RAW = "script|style|template|noscript|svg|title|iframe|textarea|select|object|video|audio|canvas|head"
+RAW = "template|noscript|svg|title|iframe|textarea|select|object|video|audio|canvas"
+#: Those of them that hold no tags, and what the head may hold.
+PLAIN = {"title", "iframe", "textarea", "noscript"}
+HEAD = set("base link meta title style script noscript template head html".split())
 #: What a start tag ends, if it is open in the same list, table or block.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPE = {"ul", "ol", "dl", "table", "body", "article", "section", "div", "aside", "nav", "main"}
-TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[|<[!?][^>]*>|<({RAW})(?=[\s/>])[^>]*?(?:/>|>.*?(?:</\1\s*>|\Z))|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S | re.I)
+TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[|<[!?][^>]*>|<(script|style)(?=[\s/>])[^>]*?(?:/>|>.*?(?:</\1\s*>|\Z))|<({RAW}|head)(?=[\s/>])[^>]*?(/?)>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S | re.I)
 ATTRIBUTE = re.compile(r"""\b(?:class|id|role|itemprop|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 SPLIT = re.compile(r"[^a-z]+|(?<=[a-z])(?=[A-Z])")
 #: Attribute tokens that speak for the main text and for kinds of clutter.
@@ -50,6 +53,51 @@ AGAINST = [set(x.split()) for x in ("nav navigation navbar menu breadcrumb bread
 FEATURES = 34
 
 
+def head_end(source: str, at: int) -> int:
+    """Where the head ends whose start tag ends at a place: with its end tag, or at what only the body may hold."""
+    first = None  # text that belongs to no element; it begins the body unless the head is closed
+    while m := TOKEN.search(source, at):
+        if first is None and source[at : m.start()].strip():
+            first = at
+        tag = (m[2] or m[5] or "").lower()
+        if m[4] and tag == "head":
+            return m.end()
+        if tag and not m[4] and tag not in HEAD:
+            return m.start() if first is None else first
+        at = raw_end(source, m, ["head"]) if m[2] and tag != "head" else m.end()
+    return at if first is None else first
+
+
+def raw_end(source: str, start: re.Match, names: list[str]) -> int:
+    """Where an element without text ends: with its end tag, or with the innermost of the open elements `names`."""
+    tag, at = start[2].lower(), start.end()
+    if start[3]:
+        return at
+    if tag in PLAIN:
+        m = re.compile(rf"<(/?){tag}(?=[\s/>])[^>]*>", re.I).search(source, at)
+        if m and m[1]:
+            return m.end()
+    inner, implied = [tag], None
+    while m := TOKEN.search(source, at):
+        at = m.end()
+        t = (m[2] or m[5] or "").lower()
+        if not t or m[3] or t in VOID:
+            continue
+        if not m[4]:
+            if implied is None and (names[-1] == "head" and t not in HEAD or names[-1] == "p" and t in KIND and t != "option" or t in ENDS and names[-1] in ENDS[t] and SCOPE.isdisjoint(inner)):
+                implied = m.start()
+            if t not in PLAIN or t == tag:
+                inner.append(t)
+        elif t in inner:
+            while inner.pop() != t:
+                pass
+            if not inner:
+                return at
+        elif t in names:
+            return m.start() if implied is None else implied
+    return len(source) if implied is None else implied
+
+
 class Page:
     """Block-level elements in order of their start; blocks of text with the element that each belongs to."""
 
@@ -69,26 +117,28 @@ class Page:
 
         end = 0
         source = source or ""
-        for m in TOKEN.finditer(source):
+        while m := TOKEN.search(source, end):
             if m.start() > end:
                 part.append(source[end : m.start()])
                 linked += (m.start() - end) if link else 0
             end = m.end()
-            if not m[3]:
-                if m[1] and m[1].lower() not in ("script", "style"):
-                    self.inputs[open_[-1]] += m[1].lower() in ("textarea", "select")
+            if not m[5]:
+                if m[2]:
+                    raw = m[2].lower()
+                    self.inputs[open_[-1]] += raw in ("textarea", "select")
                     part.append(" ")
+                    end = head_end(source, end) if raw == "head" and not m[3] else raw_end(source, m, names)
                 continue
-            tag, kind = m[3].lower(), KIND.get(m[3].lower())
+            tag, kind = m[5].lower(), KIND.get(m[5].lower())
             if kind is None:
                 if tag == "a":
-                    link = max(0, link - 1) if m[2] else link + 1
+                    link = max(0, link - 1) if m[4] else link + 1
                 elif tag in VOID:
                     part.append(" ")
                     self.inputs[open_[-1]] += tag == "input"
                 continue
             flush()
-            if m[2]:
+            if m[4]:
                 if tag in names:
                     while names[-1] != tag:
                         open_.pop()
@@ -111,7 +161,7 @@ class Page:
             self.kind.append(kind)
             self.tag.append(tag)
             self.inputs.append(0)
-            self.tokens.append(tuple(t for a in ATTRIBUTE.finditer(m[4]) for t in SPLIT.split((a[1] or a[2] or a[3] or "").lower()) if t) if "=" in m[4] else ())
+            self.tokens.append(tuple(t for a in ATTRIBUTE.finditer(m[6]) for t in SPLIT.split((a[1] or a[2] or a[3] or "").lower()) if t) if "=" in m[6] else ())
             if tag not in VOID:
                 open_.append(len(self.parent) - 1)
                 names.append(tag)

@@ -298,6 +298,24 @@ def test_html(spark):
     assert got[1] == got[2] == "" and len(got) == 4
 
 
+def test_html_without_end_tags():
+    blocks = lambda x: [t for _, t, _ in html_extraction.Page(x).blocks]
+    body = "<body><article><p>one</p><p>two</p></article>"
+    for head in ("<head><title>x</title>", "<head><meta name=a><script>if (a) '<p>'</script><title>x", "<head><title>x</title><noscript><style>b</style></noscript> <link rel=a>", "<head><title>x</title>stray</head>"):
+        assert blocks(f"<!DOCTYPE html><html>{head}{body}") == ["one", "two"]
+        assert blocks(f"<html>{head}<p>three{body}")[0] == "three"
+    assert blocks("<head><title>x</title>only text") == ["only text"]
+    for raw in ("object data=x", "iframe src=x", "select", "svg", "video", "canvas", "textarea", "noscript", "title", "template"):
+        tag = raw.split()[0]
+        for after in ("", f"<p><{raw}>c</{tag}></p>"):
+            assert blocks(f"<article><div>a<{raw}>b</div><p>one</p><p>two</p>{after}</article><p>three") == ["a", "one", "two", "three"]
+            assert blocks(f"<article><p>a<{raw}>b<p>one</p>{after}</article>three") == ["a", "one", "three"]
+            assert blocks(f"<ul><li>a<{raw}>b<li>one</ul>{after}two") == ["a", "one", "two"]
+        assert blocks(f"<div>a<{raw}>b</{tag}>c</div>d") == ["a c", "d"]
+    assert blocks("<div>a<object><object>b</object>c</object>d</div>") == ["a d"]
+    assert blocks("a<script>b<p>c</p>") == ["a"]
+
+
 def test_labels_do_not_contradict():
     rng = np.random.default_rng(2)
     for _ in range(50):
