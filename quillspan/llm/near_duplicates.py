@@ -1,10 +1,12 @@
-"""Operator 9, n-gram Jaccard join: a MinHash LSH forest, then exact verification.
+"""Operator 9, n-gram Jaccard join: MinHash banding, then exact verification.
 
-A document is its set of five-word shingles. `trees` label sequences of MinHash values make a forest of
-prefix tries; two documents meet in a tree if their prefixes of the current length agree. The length
-starts at `depth` and is shortened until pairs at the threshold meet in some tree with
-probability `recall` or more. Documents that meet are tied into families; within a family every pair
-is verified exactly, a block of documents against a block, by counting shared shingles.
+A document is its set of five-word shingles. Each of `trees` bands labels it by the hash of its first
+MinHash values; two documents meet in a band if their labels agree. The number of values is worked out
+once, as an LSH forest's prefixes would be shortened: it starts at `depth` and is lowered until pairs at
+the threshold meet in some band with probability `recall` or more. It depends on these parameters alone,
+so values beyond it are neither computed nor sorted, and there are no tries. Documents that meet are tied
+into families; within a family every pair is verified exactly, a block of documents against a block, by
+counting shared shingles.
 
 Copies (equal shingle sets) are joined first and carried as one representative with a count. A
 family of any size is cut into blocks of about `BLOCK` documents, so a task holds two blocks at most; it
@@ -33,7 +35,7 @@ CHUNK = 4096
 
 
 def prefix_length(trees: int = TREES, depth: int = DEPTH, threshold: float = THRESHOLD, recall: float = RECALL) -> int:
-    """The longest prefix at which the forest reaches the recall."""
+    """The most values a band at which the bands reach the recall."""
     length = depth
     while length > 1 and 1 - (1 - threshold**length) ** trees < recall:
         length -= 1
