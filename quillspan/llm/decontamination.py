@@ -1,15 +1,20 @@
-"""Operator 1, benchmark decontamination: a positional inverted index and phrase queries on it.
+"""Operator 1, benchmark decontamination: a stored positional inverted index and phrase queries on it.
 
-`postings` makes the index: (term, doc_id, pos) for every training token, restricted on request to
-the terms that a test set can ask for. A query looks up the rarest terms of each test window, shifts
-their positions by the terms' offsets, and intersects the shifted lists: equal shifts mean that the
-terms stand at the right distance. Only the alignments that survive are looked up for all terms.
+`build_index` reads the texts once and writes the index: a posting (term, row, pos) for every token. Every
+task writes a segment of its own, sorted by term, row and position, so nothing is shuffled; the segments'
+column statistics are the dictionary by which a query skips what it does not ask for. Terms and rows are 64-bit
+hashes: a term's of the word, a row's of doc_id and text. An index can be asked by many queries.
+
+A phrase query looks up the rarest terms of each test window, shifts their positions by the terms'
+offsets, and intersects the shifted lists: equal shifts mean that the terms stand at the right distance.
+Only the alignments that survive are looked up for all their terms. A proximity query starts from the
+rarest terms' postings too, keeps the places with the second rarest one near, and asks there for the rest.
 Everything is DataFrame and SQL functions.
 
 Defined results: a null or empty text has no words, hits nothing and is not contaminated; an item
-with no words has no windows; an item below the window length is one window; repeated rows of a
-document are merged into one row when all their columns agree and are otherwise judged under one
-doc_id; repeated items count as one id. Extra columns are ignored.
+with no words has no windows; an item below the window length is one window; repeated items count as one
+id; there is a result row for each input row: rows that share a doc_id, a null one too, are judged apart, and
+repeated rows alike. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,6 +27,7 @@ from .shared import Scratch, only
 #: Fixed by the contract: what separates words, after A-Z are lower-cased.
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+WINDOW, SHARE, RAREST, SLOP = 13, 20, 2, 5
 
 
 def words(text) -> F.Column:
@@ -30,84 +36,106 @@ def words(text) -> F.Column:
     return F.array_remove(parts, "")
 
 
-def postings(docs: DataFrame, terms: DataFrame | None = None) -> DataFrame:
-    """The positional index (term, doc_id, pos) of docs(doc_id, text); with `terms` (term), only the lists of those."""
-    got = only(docs, "doc_id", "text").select("doc_id", F.posexplode(words(F.col("text"))).alias("pos", "term"))
-    return got if terms is None else got.join(terms, "term", "left_semi")
+def row_key() -> F.Column:
+    """Tells rows apart, null-safe."""
+    return F.xxhash64("doc_id", "text")
+
+
+def build_index(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """The stored index (term, row, pos) of docs(doc_id, text), in segments that are sorted so."""
+    tokens = only(docs, "doc_id", "text").select(row_key().alias("row"), F.posexplode(words(F.col("text"))).alias("pos", "word"))
+    return scratch.keep(tokens.select(F.xxhash64("word").alias("term"), "row", "pos").sortWithinPartitions("term", "row", "pos"))
 
 
 def item_tokens(items: DataFrame) -> DataFrame:
-    """(item_id, item_len, j, term) of items(item_id, text); rows that repeat an item are judged on their own."""
+    """(item_id, item, item_len, j, term) of items(item_id, text); rows that repeat an item are judged on their own."""
     got = only(items, "item_id", "text").distinct().select(F.col("item_id").cast("string").alias("item_id"), F.xxhash64("item_id", "text").alias("item"), words(F.col("text")).alias("w"))
-    return got.where(F.size("w") > 0).select("item_id", "item", F.size("w").alias("item_len"), F.posexplode("w").alias("j", "term"))
+    placed = got.where(F.size("w") > 0).select("item_id", "item", F.size("w").alias("item_len"), F.posexplode("w").alias("j", "word"))
+    return placed.select("item_id", "item", "item_len", "j", F.xxhash64("word").alias("term"))
 
 
 def anchors(tokens: DataFrame, frequency: DataFrame, window: int, rarest: int) -> DataFrame:
-    """(item, k, off, term): for each window start k, its `rarest` rarest terms by corpus frequency and their offsets.
+    """(item, want): for the windows of each item, the distinct sets of their `rarest` rarest terms, as (j, term).
 
     A term that the corpus lacks makes its window unanswerable; such windows are left out.
     """
     starts = F.explode(F.sequence(F.greatest(F.lit(0), F.col("j") - window + 1), F.greatest(F.lit(0), F.least(F.col("j"), F.col("item_len") - window)))).alias("k")
     placed = tokens.join(frequency, "term", "left").select("item", "j", "term", F.coalesce("n", F.lit(0)).alias("n"), starts)
-    w = Window.partitionBy("item", "k")
-    ranked = placed.withColumn("r", F.row_number().over(w.orderBy("n", "j"))).withColumn("least", F.min("n").over(w)).where("least > 0")
-    return ranked.where(F.col("r") <= rarest).select("item", "k", "j", "term", F.count("*").over(w).alias("need"))
-
-
-def find_phrases(docs: DataFrame, items: DataFrame, window: int = 13, rarest: int = 2, scratch: Scratch | None = None) -> DataFrame:
-    """Exact phrase matches: (doc_id, item_id, item, pos): document words at pos lie in an occurrence of a window of the item."""
-    scratch = scratch or Scratch(docs.sparkSession, "op1")
-    tokens = scratch.keep(item_tokens(items))
-    terms = scratch.keep(tokens.select("term").distinct())
-    frequency = scratch.keep(postings(docs, terms).groupBy("term").agg(F.count("*").alias("n")))
-    anchor = scratch.keep(anchors(tokens, frequency, window, rarest))
-    # every anchored (item, j) gives one diagonal pos - j; a window is a candidate if all its rarest terms share it
-    spots = scratch.keep(anchor.groupBy("term").agg(F.collect_set(F.struct("item", "j")).alias("spots")))
-    lists = postings(docs).join(spots, "term").select("doc_id", "pos", F.inline("spots")).select("doc_id", "item", (F.col("pos") - F.col("j")).alias("shift"), "j")
-    seen = lists.groupBy("doc_id", "item", "shift").agg(F.collect_set("j").alias("js"))
-    need = anchor.groupBy("item", "k").agg(F.collect_set("j").alias("want")).groupBy("item").agg(F.collect_set("want").alias("wants"))
-    aligned = seen.join(need, "item").where(F.exists("wants", lambda w: F.size(F.array_intersect(w, "js")) == F.size(w)))
-    candidates = scratch.keep(aligned.select("doc_id", "item", "shift"))
+    per = placed.groupBy("item", "k").agg(F.min("n").alias("least"), F.slice(F.sort_array(F.collect_list(F.struct("n", "j", "term"))), 1, rarest).alias("r"))  # a window's terms
+    want = F.sort_array(F.transform("r", lambda x: F.struct(x["j"].alias("j"), x["term"].alias("term"))))
+    return per.where("least > 0").select("item", want.alias("want")).distinct()
+
+
+def find_phrases(index: DataFrame, tokens: DataFrame, scratch: Scratch, window: int = WINDOW, rarest: int = RAREST) -> DataFrame:
+    """Exact phrase matches (row, item_id, item, pos): words at pos of a row lie in an occurrence of a window of the item."""
+    frequency = scratch.keep(index.join(tokens.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n")))
+    anchor = scratch.keep(anchors(tokens, frequency, window, rarest).select("item", F.xxhash64("item", "want").alias("set"), F.size("want").alias("need"), F.inline("want")))
+    # a set of rarest terms is found where all its terms' lists, shifted by their offsets, meet
+    shifted = index.join(anchor, "term").select("row", "item", "set", "need", (F.col("pos") - F.col("j")).alias("shift"), "j")
+    met = shifted.groupBy("row", "item", "set", "need", "shift").agg(F.count_distinct("j").alias("got")).where("got = need")
+    candidates = scratch.keep(met.select("row", "item", "shift").distinct())
     # the rest of the terms: shift their lists likewise; a run of `window` (or the whole item) is an occurrence
-    asked = candidates.join(tokens.select("item", "item_id", "item_len", "j", "term"), "item").select("doc_id", "item", "item_id", "item_len", "shift", "j", "term", (F.col("j") + F.col("shift")).alias("pos"))
-    there = postings(docs.join(candidates.select("doc_id").distinct(), "doc_id", "left_semi"), terms).distinct()
-    met = asked.join(there, ["doc_id", "pos", "term"])
-    along = Window.partitionBy("doc_id", "item", "item_id", "shift")
-    runs = met.withColumn("run", F.col("j") - F.row_number().over(along.orderBy("j")))
-    long = runs.withColumn("length", F.count("*").over(Window.partitionBy("doc_id", "item", "item_id", "shift", "run")))
-    return long.where(F.col("length") >= F.least(F.lit(window), F.col("item_len"))).select("doc_id", "item_id", "item", "pos")
+    asked = candidates.join(tokens, "item").select("row", "item", "item_id", "item_len", "shift", "j", "term", (F.col("j") + F.col("shift")).alias("pos"))
+    there = index.join(candidates.select("row").distinct(), "row", "left_semi").join(tokens.select("term").distinct(), "term", "left_semi").distinct()
+    hit = asked.join(there, ["row", "pos", "term"])
+    along = Window.partitionBy("row", "item", "item_id", "shift")
+    runs = hit.withColumn("run", F.col("j") - F.row_number().over(along.orderBy("j")))
+    long = runs.withColumn("length", F.count("*").over(Window.partitionBy("row", "item", "item_id", "shift", "run")))
+    return long.where(F.col("length") >= F.least(F.lit(window), F.col("item_len"))).select("row", "item_id", "item", "pos")
 
 
-def find_near(docs: DataFrame, phrases: DataFrame, slop: int = 5) -> DataFrame:
-    """Proximity matches (phrase_id, doc_id, first_pos): all distinct terms of phrases(phrase_id, text) within their number plus `slop` words.
+def find_near(index: DataFrame, phrases: DataFrame, scratch: Scratch, slop: int = SLOP) -> DataFrame:
+    """Proximity matches (row, item_id, first_pos): all distinct terms of a phrase(item_id, text) within their number plus `slop` words.
 
-    Starts from the rarest term's postings; every other term must have a posting close to it.
+    `first_pos` is where the first such stretch of the row begins.
     """
-    wanted = only(phrases, "phrase_id", "text").select("phrase_id", F.explode(F.array_distinct(words(F.col("text")))).alias("term"))
-    index = postings(docs, wanted.select("term").distinct())
-    n = index.groupBy("term").agg(F.count("*").alias("n"))
-    w = Window.partitionBy("phrase_id")
-    ranked = wanted.join(n, "term", "left").withColumn("r", F.row_number().over(w.orderBy(F.coalesce("n", F.lit(0)), "term"))).withColumn("terms", F.count("*").over(w))
-    lead = ranked.where("r = 1").join(index, "term").select("phrase_id", "terms", "doc_id", F.col("pos").alias("at"))
+    wanted = item_tokens(phrases).select("item_id", "item", "term").distinct()
+    n = index.join(wanted.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n"))
+    w = Window.partitionBy("item", "item_id")
+    ranked = wanted.join(n, "term", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    ranked = ranked.withColumn("r", F.row_number().over(w.orderBy("n", "term"))).withColumn("terms", F.count("*").over(w)).withColumn("least", F.min("n").over(w))
+    ranked = scratch.keep(ranked.where("least > 0").select("item_id", "item", "term", "r", "terms"))
     span = F.col("terms") + F.lit(slop)
-    starts = lead.select("*", F.explode(F.sequence(F.greatest(F.lit(0), F.col("at") - span + 1), F.col("at"))).alias("first_pos"))
-    cover = starts.join(ranked.select("phrase_id", "term"), "phrase_id").join(index.withColumnRenamed("pos", "p"), ["doc_id", "term"]).where((F.col("p") >= F.col("first_pos")) & (F.col("p") < F.col("first_pos") + span))
-    full = cover.groupBy("phrase_id", "doc_id", "first_pos", "terms").agg(F.count_distinct("term").alias("got")).where("got = terms")
-    return full.groupBy("phrase_id", "doc_id").agg(F.min("first_pos").cast("long").alias("first_pos"))
-
-
-def contamination(docs: DataFrame, items: DataFrame, window: int = 13, share: int = 20, rarest: int = 2) -> DataFrame:
-    """Per document: n_words, n_hit, n_items, items (sorted ids as strings), contaminated."""
+    # what is near is in the same stretch of `width` words or in one beside it, so long texts are not met all with all
+    width = int(ranked.agg(F.max("terms")).first()[0] or 1) + slop
+    stretch = lambda pos: F.floor(pos / F.lit(width))
+    beside = F.explode(F.array(*[stretch(F.col("at")) + d for d in (-1, 0, 1)])).alias("cell")
+    lead = index.join(ranked.where("r = 1"), "term").select("item_id", "item", "terms", "row", F.col("pos").alias("at"))
+    second = index.join(ranked.where("r = 2"), "term").select("item", F.col("item_id").alias("id2"), "row", F.col("pos").alias("p2"), stretch(F.col("pos")).alias("cell"))
+    both = lead.where("terms > 1").select("*", beside).join(second, ["item", "row", "cell"]).where(F.col("item_id").eqNullSafe(F.col("id2")) & (F.abs(F.col("p2") - F.col("at")) < span))
+    lead = scratch.keep(both.select(lead.columns).union(lead.where("terms = 1")).distinct())
+    rest = index.join(lead.select("row").distinct(), "row", "left_semi").select("row", "term", "pos", stretch(F.col("pos")).alias("cell")).distinct()
+    around = lead.select("*", beside).join(ranked.select("item", F.col("item_id").alias("id2"), "term"), "item").where(F.col("item_id").eqNullSafe(F.col("id2")))
+    close = around.join(rest, ["row", "term", "cell"]).where(F.abs(F.col("pos") - F.col("at")) < span)
+    # a stretch begins at one of the terms' places and holds the lead; the places around a lead are bounded by the span
+    spots = close.groupBy("item_id", "item", "row", "terms", "at").agg(F.sort_array(F.collect_set(F.struct("pos", "term"))).alias("spots"))
+    holds = lambda s: F.size(F.array_distinct(F.transform(F.filter("spots", lambda x: (x["pos"] >= s["pos"]) & (x["pos"] < s["pos"] + span)), lambda x: x["term"]))) == F.col("terms")
+    first = spots.select("item_id", "row", F.array_min(F.transform(F.filter("spots", holds), lambda x: x["pos"])).alias("first_pos"))
+    return first.where("first_pos is not null").groupBy("item_id", "row").agg(F.min("first_pos").cast("long").alias("first_pos"))
+
+
+def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, share: int = SHARE, rarest: int = RAREST, slop: int | None = SLOP) -> DataFrame:
+    """Per row of docs: doc_id, row, n_words, n_hit, n_items, items (sorted ids as strings), contaminated, n_near.
+
+    n_near counts the items all whose terms stand near one another in the row; null if `slop` is None.
+    """
     scratch = Scratch(docs.sparkSession, "op1")
-    found = scratch.keep(find_phrases(docs, items, window, rarest, scratch))
-    hit = found.groupBy("doc_id").agg(F.count_distinct("pos").alias("n_hit"), F.sort_array(F.collect_set("item_id")).alias("items"))
-    sizes = only(docs, "doc_id", "text").groupBy("doc_id").agg(F.max(F.size(words(F.col("text"))).cast("long")).alias("n_words"))
-    out = sizes.join(hit, sizes.doc_id.eqNullSafe(hit.doc_id), "left").select(sizes.doc_id, "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
-    return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), "items", ((F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"))
+    index, tokens = build_index(docs, scratch), scratch.keep(item_tokens(items))
+    found = scratch.keep(find_phrases(index, tokens, scratch, window, rarest))
+    hit = found.groupBy("row").agg(F.count_distinct("pos").alias("n_hit"), F.sort_array(F.collect_set("item_id")).alias("items"))
+    if slop is not None:
+        near = scratch.keep(find_near(index, items, scratch, slop)).groupBy("row").agg(F.count_distinct("item_id").alias("n_near"))
+        hit = hit.join(near, "row", "full")
+    sizes = index.groupBy("row").agg(F.count("*").alias("n")).join(docs.groupBy(row_key().alias("row")).agg(F.count("*").alias("m")).where("m > 1"), "row", "left")
+    words_of = sizes.select("row", F.expr("n div coalesce(m, 1)").alias("n_words"))
+    rows = only(docs, "doc_id", "text").select("doc_id", row_key().alias("row"))
+    out = rows.join(words_of, "row", "left").join(hit, "row", "left").withColumn("n_words", F.coalesce("n_words", F.lit(0)).cast("long")).withColumn("n_hit", F.coalesce("n_hit", F.lit(0)).cast("long")).withColumn("items", F.coalesce("items", F.array().cast("array<string>")))
+    n_near = F.coalesce("n_near", F.lit(0)).cast("long") if slop is not None else F.lit(None).cast("long")
+    return out.select("doc_id", "row", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), "items", ((F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"), n_near.alias("n_near"))
 
 
 def clean_docs(docs: DataFrame, items: DataFrame, **settings) -> DataFrame:
-    """docs without the contaminated ones; all columns stay as they are."""
+    """docs without the contaminated rows; all columns stay as they are."""
     scratch = Scratch(docs.sparkSession, "op1-clean")
-    bad = scratch.keep(contamination(docs, items, **settings).where("contaminated").select("doc_id").distinct())
-    return docs.join(bad, "doc_id", "left_anti").select(docs.columns)
+    bad = scratch.keep(contamination(docs, items, **{"slop": None} | settings).where("contaminated").select("row").distinct())
+    return docs.join(bad, row_key() == bad["row"], "left_anti")

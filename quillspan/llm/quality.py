@@ -6,7 +6,8 @@ hashed into `BUCKETS` columns, each scaled by the log ratio of its smoothed coun
 linear model with hinge loss is fitted by dual coordinate descent. The weights are drawn towards their mean
 size, as the method does. A logistic curve on rows kept back makes margins probabilities.
 
-Learns from at most `most_rows` labelled rows, those with the least hash of doc_id.
+Learns from at most `most_rows` labelled rows with `most_columns` indicators in all, those with the least
+hash of doc_id, so that what the driver holds is bounded in rows and in bytes.
 
 Defined results: null and empty texts have the indicator of an empty text alone; repeated rows are
 scored alike; labels other than 0 and 1 are not learned from; if a class has no rows, every text
@@ -28,11 +29,13 @@ from pyspark.sql import functions as F
 from .shared import Scratch, WordHashes, gram_hashes, only, word_hashes
 from .toxicity import logistic, sample
 
-MOST_ROWS = 20_000
+MOST_ROWS, MOST_COLUMNS = 20_000, 16_000_000
 BUCKETS = 1 << 18
 #: Strength of the fit, smoothing of the counts, and the share of the weights that is not drawn to their mean.
 COST, SMOOTH, OWN = 0.1, 1.0, 0.25
 EMPTY = np.uint64(0x5EED)
+#: Words that the cache of shapes keeps, in bytes.
+KEPT = 64
 RUNS = re.compile(rb"([A-Z]+)|([a-z\x80-\xff]+)|([0-9]+)|([^A-Za-z0-9\x80-\xff])\4*")
 
 
@@ -40,10 +43,12 @@ class Shapes(dict):
     """word -> hash of its shape: kinds of runs in it and about how long it is."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= WordHashes.LIMIT:
-            self.clear()
-        kinds = b"".join(b"A" if m[1] else b"a" if m[2] else b"0" if m[3] else m[4] for m in RUNS.finditer(word[:200]))
-        self[word] = h = xxhash.xxh3_64_intdigest(kinds[:12] + b" %d" % min(len(word).bit_length(), 6))
+        kinds = b"".join(b"A" if m[1] else b"a" if m[2] else b"0" if m[3] else m[4] for m in RUNS.finditer(word))
+        h = xxhash.xxh3_64_intdigest(kinds + b" %d" % min(len(word).bit_length(), 6))
+        if len(word) <= KEPT:  # long ones are rare and would fill the memory
+            if len(self) >= WordHashes.LIMIT:
+                self.clear()
+            self[word] = h
         return h
 
 
@@ -131,13 +136,18 @@ def fit(rows: list[np.ndarray], y: np.ndarray, curve: np.ndarray) -> Model:
 def columns_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         got = [indicators(t.as_py()) for t in batch.column("text")]
-        yield pa.RecordBatch.from_arrays([pa.array(got, pa.list_(pa.int32())), batch.column("y"), batch.column("curve")], ["x", "y", "curve"])
+        yield pa.RecordBatch.from_arrays([pa.array(got, pa.list_(pa.int32())), *(batch.column(c) for c in ("y", "curve", "key"))], ["x", "y", "curve", "key"])
 
 
-def train(docs: DataFrame, labels: DataFrame, learn: F.Column, most_rows: int = MOST_ROWS) -> Model:
+def train(docs: DataFrame, labels: DataFrame, learn: F.Column, most_rows: int = MOST_ROWS, most_columns: int = MOST_COLUMNS) -> Model:
     """Fits the model on labelled rows of docs for which `learn`, a condition on doc_id, holds."""
     scratch = Scratch(docs.sparkSession, "op3")
-    got = sample(docs, labels, "quality", learn, most_rows, scratch).mapInArrow(columns_of, "x array<int>, y int, curve boolean").toArrow()
+    rows = scratch.keep(sample(docs, labels, "quality", learn, most_rows, scratch).mapInArrow(columns_of, "x array<int>, y int, curve boolean, key long"))
+    sizes = rows.select("key", F.size("x").alias("n")).toArrow()
+    keys, n = sizes.column("key").to_numpy(), sizes.column("n").to_numpy()
+    order = np.argsort(keys, kind="stable")
+    over = np.flatnonzero(np.cumsum(n[order], dtype=np.int64) > most_columns)
+    got = (rows.where(F.col("key") < int(keys[order[over[0]]])) if len(over) else rows).toArrow()
     y, curve = got.column("y").to_numpy(), got.column("curve").to_numpy()
     if not len(y) or not 0 < y[~curve].sum() < (~curve).sum() or not curve.any():
         return Model(np.zeros(BUCKETS, np.float32), 0.0, (0.0, float(np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5)))))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import re
 import tempfile
 import uuid
 import zipfile
@@ -22,10 +23,12 @@ _own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: `spark.checkpoint.dir`, or where that is unset (tests) a folder of our own."""
+    """The folder that driver and executors share: `spark.checkpoint.dir`, or where that is unset on a single machine (tests) a folder of our own."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     app = spark.sparkContext.applicationId
     if app not in _own:
         _own[app] = "file://" + tempfile.mkdtemp(prefix="quillspan-")
@@ -99,11 +102,6 @@ def only(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(f"`{n}`") for n in names])
 
 
-def spread(df: DataFrame, factor: int = 3) -> int:
-    """Partitions for a shuffle that holds whole texts."""
-    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), factor * df.sparkSession.sparkContext.defaultParallelism)
-
-
 class WordHashes(dict):
     """word (bytes) -> 64-bit hash; forgets everything when it gets large, so memory stays bounded."""
 
@@ -137,7 +135,8 @@ _TABLE = mixed(np.arange(1, 64 * 256 + 1, dtype=np.uint64) * MIX)
 def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashes, starts and ends (in bytes) of the words that `data.split()` gives, without making them.
 
-    A word's hash adds up a keyed number for each byte and place in the word.
+    A word's hash adds up a keyed number for each byte and place in the word; beyond 64 bytes the number
+    is that of the place in its block times a keyed odd number of the block, so that no two places weigh alike.
     """
     x = np.frombuffer(data, np.uint8)
     space = _SPACES[x]
@@ -150,7 +149,8 @@ def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     place[start[0] : end[0]] -= start[0]
     c = _TABLE[((place & 63) << 8) | x]
     if int((end - start).max()) > 64:
-        c *= (2 * (place >> 6) + 1).astype(np.uint64)
+        far = np.flatnonzero(place >= 64)
+        c[far] *= mixed((place[far] >> 6).astype(np.uint64) * MIX) | np.uint64(1)
     c[space] = 0
     return mixed(np.add.reduceat(c, start)), start, end
 
@@ -170,10 +170,6 @@ def gram_hashes(h: np.ndarray, k: int) -> np.ndarray:
     return mixed(out)
 
 
-def words_of(text: str | None) -> list[bytes]:
-    return bytes_of(text).split()
-
-
 def connected(scratch: Scratch, edges: DataFrame) -> DataFrame:
     """Connected components of `edges` (a, b: long) as (id, root), root the least id.
 

@@ -198,11 +198,11 @@ def arrays(df: DataFrame) -> tuple[np.ndarray, ...]:
 
 
 def sample(docs: DataFrame, labels: DataFrame, name: str, learn: F.Column, most_rows: int, scratch: Scratch) -> DataFrame:
-    """(text, y, curve) of at most most_rows labelled rows; a part by hash is for the curve."""
+    """(text, y, curve, key) of at most most_rows labelled rows; a part by hash is for the curve; key is the hash that rows are chosen by."""
     marked = only(labels, "doc_id", name).where(F.col(name).isin(0, 1) & learn).groupBy("doc_id").agg(F.max(name).cast("int").alias("y"))
     chosen = scratch.keep(marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_rows))
     curve = F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(1000)) < int(1000 * CURVE_SHARE)
-    return scratch.keep(only(docs, "doc_id", "text").join(chosen, "doc_id").select("text", "y", curve.alias("curve")))
+    return scratch.keep(only(docs, "doc_id", "text").join(chosen, "doc_id").select("text", "y", curve.alias("curve"), F.xxhash64("doc_id").alias("key")))
 
 
 def train(docs: DataFrame, labels: DataFrame, learn: F.Column, most_rows: int = MOST_ROWS) -> Model:

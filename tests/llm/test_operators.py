@@ -77,10 +77,25 @@ def test_decontamination(spark, docs, texts, empty):
                     found |= ids
         g = got[i]
         assert (g.n_words, g.n_hit, g["items"], g.contaminated) == (len(w), len(hit), sorted(found), bool(hit) and 20 * len(hit) >= len(w))
+        terms = [(r.item_id, set(bench_words(r.text))) for r in items.collect()]
+        near = {n for n, t in terms if t and any(t <= set(w[k : k + len(t) + 5]) for k in range(len(w)))}
+        assert g.n_near == len(near)
     assert decontamination.contamination(empty, items).count() == 0
     assert decontamination.contamination(docs, items.limit(0)).where("n_hit > 0").count() == 0
-    near = decontamination.find_near(docs, spark.createDataFrame([(1, "four one")], "phrase_id long, text string")).collect()
-    assert [(r.doc_id, r.first_pos) for r in near] == [(4, 0)]
+
+
+def test_decontamination_keeps_rows_apart(spark):
+    """Null ids, different texts under one id, repeated rows, and columns with dots."""
+    words = [f"w{i}" for i in range(13)]
+    halves = [" ".join(words[:6] + ["x"] * 7), " ".join(["y"] * 6 + words[6:])]
+    rows = [(1, halves[0]), (1, halves[1]), (None, " ".join(words)), (None, "other"), (3, "a " + " ".join(words)), (3, "a " + " ".join(words)), (None, None)]
+    docs = spark.createDataFrame([(*r, 7, 8) for r in rows], "doc_id long, text string, `a.b` int, row int")
+    items = spark.createDataFrame([(None, "w0 w1"), ("i", " ".join(words))], "item_id string, text string")
+    got = decontamination.contamination(docs, items.where("item_id is not null")).collect()
+    assert sorted((r.doc_id or 0, r.n_words, r.n_hit, r.contaminated) for r in got) == [(0, 0, 0, False), (0, 1, 0, False), (0, 13, 13, True), (1, 13, 0, False), (1, 13, 0, False), (3, 14, 13, True), (3, 14, 13, True)]
+    kept = decontamination.clean_docs(docs, items.where("item_id is not null"))
+    assert kept.columns == docs.columns and sorted((r.doc_id or 0, r.text or "") for r in kept.collect()) == sorted((i or 0, t or "") for i, t in rows if not t or "w0 w1 w2 w3 w4 w5 w6" not in t)
+    assert decontamination.contamination(docs, items).where("n_hit > 0").count() == 4
 
 
 def test_mixing(docs, texts, empty):
