@@ -8,7 +8,8 @@ fingerprint covers all the words of its windows. Documents are joined on anchors
 * a run whose fingerprint a smaller document also has is a repeat as a whole;
 * a run whose anchor no smaller document has is no repeat;
 * of the others (extension ends within the run), each window is compared with the windows of one
-  document for each different fingerprint of the anchor.
+  document for each different fingerprint of the anchor. All extensions of an anchor, by every number of words
+  both ways, are met at once by the hashes of their windows, instead of one pair of documents after the other.
 
 Windows that repeat are merged into maximal repeats, (start, end) in words, and removed.
 
@@ -101,37 +102,20 @@ def lists(rows: list[list[tuple[int, int]]]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays([pa.array(flat[:, 0].copy()), pa.array(flat[:, 1].copy())], ["anchor", "span"]))
 
 
-def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Over (anchor, span, doc_id) sorted so: a flag for each row of an anchor that several documents have. Holds one anchor's rows, which the first step has thinned."""
-    rest = np.empty((0, 3), np.int64)
-
-    def told(x: np.ndarray) -> pa.RecordBatch:
-        anchor, span, doc = x.T
-        new = np.concatenate([[True], anchor[1:] != anchor[:-1]])
-        start = np.flatnonzero(new)
-        group = np.cumsum(new) - 1
-        least = np.minimum.reduceat(doc, start)[group]
-        several = (np.maximum.reduceat(doc, start)[group]) > least
-        other = new | np.concatenate([[True], span[1:] != span[:-1]])
-        first = doc[np.flatnonzero(other)][np.cumsum(other) - 1]  # the least document with this span
-        repeated = doc > first
-        lookup = ~repeated & (doc > least)
-        some = np.bincount(group, lookup)[group] > 0
-        flag = np.where(repeated, REPEATED, np.where(lookup, OPEN, 0) + np.where(some & ~repeated, ANSWERS, 0))
-        kept = several & (flag > 0)
-        return pa.RecordBatch.from_arrays([pa.array(doc[kept]), pa.array(anchor[kept]), pa.array(span[kept]), pa.array(flag[kept].astype(np.int32))], ["doc_id", "anchor", "span", "flag"])
-
-    for batch in batches:
-        x = np.column_stack([batch.column(c).to_numpy() for c in ("anchor", "span", "doc_id")])
-        x = np.concatenate([rest, x]) if len(rest) else x
-        if not len(x):
-            continue
-        cut = np.searchsorted(x[:, 0], x[-1, 0])
-        if cut:
-            yield told(x[:cut])
-        rest = x[cut:]
-    if len(rest):
-        yield told(rest)
+def judged(ask: DataFrame, scratch: Scratch) -> DataFrame:
+    """(doc_id, anchor, span, flag) of those runs ask(anchor, span, doc_id) whose anchor several documents have.
+
+    Least documents are aggregated before they are shuffled, and met by joins whose skewed sides Spark splits, so
+    an anchor or a passage that very many documents have is never gathered.
+    """
+    shared = ask.groupBy("anchor").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most")
+    live = scratch.keep(ask.join(shared.select("anchor", "least"), "anchor").select("anchor", "span", "doc_id", "least"))
+    spans = scratch.keep(live.groupBy("anchor", "span").agg(F.min("doc_id").alias("first"), F.min("least").alias("least")))
+    # where a span begins later than its anchor, its first document must look its windows up in the other spans
+    open_ = spans.groupBy("anchor").agg(F.bool_or(F.col("first") > F.col("least")).alias("open")).where("open")
+    repeated = live.join(spans.select("anchor", "span", "first"), ["anchor", "span"]).where("doc_id > first").select("doc_id", "anchor", "span", F.lit(REPEATED).alias("flag"))
+    told = spans.join(open_, "anchor").select(F.col("first").alias("doc_id"), "anchor", "span", F.when(F.col("first") > F.col("least"), OPEN + ANSWERS).otherwise(ANSWERS).alias("flag"))
+    return repeated.union(told)
 
 
 RANGES = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
@@ -242,13 +226,11 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> D
     """Per document: doc_id, n_words, n_removed, kept_sha256 (of the kept words joined by spaces), repeats (maximal repeats as word ranges)."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "op10")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = only(docs, "doc_id", "text")
     pair = "array<struct<anchor:long,span:long>>"
     first = scratch.keep(texts.mapInArrow(asked(window, gram), f"doc_id long, ask {pair}, gone {pair}"))
-    ask = first.select("doc_id", F.inline("ask")).select("anchor", "span", "doc_id").repartition(parts, "anchor").sortWithinPartitions("anchor", "span", "doc_id")
-    judged = ask.mapInArrow(judge, "doc_id long, anchor long, span long, flag int")
-    flags = scratch.keep(judged.union(first.select("doc_id", F.inline("gone")).select("doc_id", "anchor", "span", F.lit(REPEATED).alias("flag"))))
+    ask = first.select("doc_id", F.inline("ask")).select("anchor", "span", "doc_id")
+    flags = scratch.keep(judged(ask, scratch).union(first.select("doc_id", F.inline("gone")).select("doc_id", "anchor", "span", F.lit(REPEATED).alias("flag"))))
     scratch.drop(first)
     per = flags.groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "span", "flag")).alias("flags"))
     state = scratch.keep(texts.join(per.withColumnRenamed("doc_id", "id"), F.col("doc_id") == F.col("id"), "left").select("doc_id", "text", "flags").mapInArrow(settle(window, gram), STATE), codec="zstd")

@@ -5,6 +5,7 @@ import bz2
 import collections
 import gzip
 import hashlib
+import itertools
 import random
 import re
 import urllib.parse
@@ -31,6 +32,10 @@ def make_texts():
         x[i * 3] = f"edit{i}"
         texts.append(" ".join(x))
     texts += [say(rng.randint(5, 80)) for _ in range(40)]
+    # words of up to 1,000 bytes, made of the same blocks in another order
+    x, y = "x" * 64, "y" * 63 + "z"
+    tail = say(12)
+    texts += [f"{w} {tail}" for w in (x + y + y + x, y + x + x + y, x + x + y + y, (x + y) * 7, (y + x) * 7, "é" * 500, "é" * 499 + "e")]
     return texts, passage
 
 
@@ -176,6 +181,13 @@ def test_repeats(docs, texts, empty):
     assert repeats.remove_repeats(empty).count() == 0
 
 
+def test_word_hashes():
+    rng = random.Random(2)
+    blocks = ["".join(rng.choice("ab") for _ in range(64)) for _ in range(4)]
+    words = ["".join(w) for n in (2, 3, 4, 5) for w in itertools.product(blocks, repeat=n)] + ["x" * n for n in range(1, 1000)]
+    assert len({int(h) for h in shared.word_hashes(" ".join(words).encode())[0]}) == len(set(words))
+
+
 def test_components(spark):
     rng = random.Random(1)
     edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(120)]
