@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import Scratch, only
+from .shared import Scratch, only, row_key
 
 #: Fixed by the contract: what separates words, after A-Z are lower-cased.
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -35,11 +35,6 @@ def words(text) -> F.Column:
     return F.array_remove(parts, "")
 
 
-def row_key() -> F.Column:
-    """Tells rows apart, null-safe."""
-    return F.xxhash64("doc_id", "text")
-
-
 def build_index(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """The stored index (term, row, pos) of docs(doc_id, text), in segments that are sorted by term, rows and positions in the order of the texts."""
     texts = only(docs, "doc_id", "text").select(row_key().alias("row"), words(F.col("text")).alias("w"))  # else each token would hash its text

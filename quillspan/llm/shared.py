@@ -102,6 +102,11 @@ def only(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(f"`{n}`") for n in names])
 
 
+def row_key() -> F.Column:
+    """Tells rows of (doc_id, text) apart, null-safe; repeated rows have the same."""
+    return F.xxhash64("doc_id", "text")
+
+
 class WordHashes(dict):
     """word (bytes) -> 64-bit hash; forgets everything when it gets large, so memory stays bounded."""
 

@@ -164,6 +164,36 @@ def test_near_duplicates(docs, texts, empty):
     assert near_duplicates.join(empty).count() == 0
 
 
+def test_near_duplicates_keep_rows_apart(spark):
+    """Null ids, two texts under one id, repeated rows, columns with dots; classes without any id."""
+    x, y = [" ".join(f"{c}{i}" for i in range(60)) for c in "xy"]
+    rows = [(5, x), (5, y), (None, x + " more"), (2, y + " more"), (None, "alone here is a text"), (None, "alone here is a text"), (9, None), (9, None), (8, "")]
+    df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, `a.b` int")
+    got = sorted((r.doc_id or 0, r.class_id or 0, r.n_links) for r in near_duplicates.join(df).collect())
+    assert got == [(0, 0, 1), (0, 0, 1), (0, 5, 1), (2, 2, 1), (5, 2, 1), (5, 5, 1), (8, 8, 0), (9, 9, 0), (9, 9, 0)]
+    kept = near_duplicates.first_docs(df)
+    assert kept.columns == df.columns and sorted((r.doc_id or 0, r.text or "") for r in kept.collect()) == [(0, "alone here is a text"), (2, y + " more"), (5, x), (8, ""), (9, "")]
+
+
+def test_forest_recall(spark):
+    """Every chain of edits around the threshold, against brute force; prefixes are shortened as far as the recall asks."""
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    texts = []
+    for _ in range(60):
+        base = [word() for _ in range(rng.randint(20, 120))]
+        for edits in (0, 1, 1, 2, 3):
+            w = list(base)
+            for _ in range(edits):
+                w[rng.randrange(len(w))] = word()
+            texts.append(" ".join(w))
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, texts)]
+    want = [sum(len(a & b) >= 0.8 * len(a | b) for b in sets) - 1 for a in sets]
+    got = {r.doc_id: r.n_links for r in near_duplicates.join(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [got[i] for i in range(len(texts))] == want and sum(want) > 200
+    assert near_duplicates.shortest_prefix() == 5 and near_duplicates.shortest_prefix(recall=0.99) == 7
+
+
 def test_repeats(docs, texts, empty):
     got = {r.doc_id: r for r in repeats.remove_repeats(docs).collect()}
     words = [(t or "").split() for t in texts[0]]
