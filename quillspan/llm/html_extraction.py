@@ -11,8 +11,10 @@ The models are fitted once a process, on pages that `made_page` writes with know
 them, from a fixed seed.
 
 Defined results: null and empty pages give the empty text; tags that are never closed end with their
-parent, the head at what only the body may hold, scripts and styles with the page; what never opens is
-ignored; a page without any element is one block; scripts, styles, templates and the head never count. Repeated rows are extracted alike. Extra columns are ignored.
+parent, those whose content is no text at the next block too, the head at what only the body may hold, scripts,
+styles and comments with the page; what never opens is ignored; a tag without an end is text; a page without any
+element is one block; scripts, styles, templates and the head never count. Parsing takes time linear in the page.
+Repeated rows are extracted alike. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,6 +22,7 @@ from __future__ import annotations
 import html
 import random
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -36,15 +39,17 @@ TREES, LEVELS, RATE, BINS = 40, 4, 0.25, 32
 KINDS = {"html body": 1, "main article": 2, "section": 3, "div center td th tr tbody thead table caption": 4, "p": 5, "h1 h2 h3 h4 h5 h6": 6, "ul ol dl menu": 7, "li dt dd": 8, "nav": 9, "aside": 10, "footer": 11, "header hgroup": 12, "form fieldset button select option textarea label dialog": 13, "blockquote pre": 14, "figure figcaption details summary address hr": 15}
 KIND = {tag: k for tags, k in KINDS.items() for tag in tags.split()}
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-#: Elements whose content is no text of the page.
-RAW = "template|noscript|svg|title|iframe|textarea|select|object|video|audio|canvas"
-#: Those of them that hold no tags, and what the head may hold.
+#: Elements whose content is no text of the page, and those of them that hold no tags.
+RAW = set("head template noscript svg title iframe textarea select object video audio canvas".split())
 PLAIN = {"title", "iframe", "textarea", "noscript"}
+#: What the head may hold.
 HEAD = set("base link meta title style script noscript template head html".split())
 #: What a start tag ends, if it is open in the same list, table or block.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-SCOPE = {"ul", "ol", "dl", "table", "body", "article", "section", "div", "aside", "nav", "main"}
-TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[|<[!?][^>]*>|<(script|style)(?=[\s/>])[^>]*?(?:/>|>.*?(?:</\1\s*>|\Z))|<({RAW}|head)(?=[\s/>])[^>]*?(/?)>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S | re.I)
+SCOPE = ("ul", "ol", "dl", "table", "body", "article", "section", "div", "aside", "nav", "main")
+NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)")
+STOP = re.compile(r"[>\"']")
+CLOSE = {tag: re.compile(rf"<(/?){tag}(?=[\s/>])", re.I) for tag in PLAIN | {"script", "style"}}
 ATTRIBUTE = re.compile(r"""\b(?:class|id|role|itemprop|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 SPLIT = re.compile(r"[^a-z]+|(?<=[a-z])(?=[A-Z])")
 #: Attribute tokens that speak for the main text and for kinds of clutter.
@@ -53,49 +58,62 @@ AGAINST = [set(x.split()) for x in ("nav navigation navbar menu breadcrumb bread
 FEATURES = 34
 
 
-def head_end(source: str, at: int) -> int:
-    """Where the head ends whose start tag ends at a place: with its end tag, or at what only the body may hold."""
-    first = None  # text that belongs to no element; it begins the body unless the head is closed
-    while m := TOKEN.search(source, at):
-        if first is None and source[at : m.start()].strip():
-            first = at
-        tag = (m[2] or m[5] or "").lower()
-        if m[4] and tag == "head":
-            return m.end()
-        if tag and not m[4] and tag not in HEAD:
-            return m.start() if first is None else first
-        at = raw_end(source, m, ["head"]) if m[2] and tag != "head" else m.end()
-    return at if first is None else first
-
-
-def raw_end(source: str, start: re.Match, names: list[str]) -> int:
-    """Where an element without text ends: with its end tag, or with the innermost of the open elements `names`."""
-    tag, at = start[2].lower(), start.end()
-    if start[3]:
-        return at
-    if tag in PLAIN:
-        m = re.compile(rf"<(/?){tag}(?=[\s/>])[^>]*>", re.I).search(source, at)
-        if m and m[1]:
-            return m.end()
-    inner, implied = [tag], None
-    while m := TOKEN.search(source, at):
-        at = m.end()
-        t = (m[2] or m[5] or "").lower()
-        if not t or m[3] or t in VOID:
-            continue
-        if not m[4]:
-            if implied is None and (names[-1] == "head" and t not in HEAD or names[-1] == "p" and t in KIND and t != "option" or t in ENDS and names[-1] in ENDS[t] and SCOPE.isdisjoint(inner)):
-                implied = m.start()
-            if t not in PLAIN or t == tag:
-                inner.append(t)
-        elif t in inner:
-            while inner.pop() != t:
-                pass
-            if not inner:
-                return at
-        elif t in names:
-            return m.start() if implied is None else implied
-    return len(source) if implied is None else implied
+def tag_end(source: str, at: int, last: dict[str, int]) -> int:
+    """Where the tag ends whose name ends at a place; quotes count after an equals sign if they are closed."""
+    i = at
+    while m := STOP.search(source, i):
+        i = m.end()
+        if m[0] == ">":
+            return m.start()
+        if m.start() < last[m[0]]:
+            k = m.start() - 1
+            while source[k].isspace():
+                k -= 1
+            if source[k] == "=":
+                i = source.index(m[0], i) + 1
+    return source.find(">", at)
+
+
+#: A start or end tag: where it begins and ends, its name, whether it is an end tag, its attributes, and for a
+#: start tag of RAW whether its content is skipped already.
+Token = tuple[int, int, str, bool, str, bool]
+
+
+def tokens_of(source: str) -> Iterator[Token]:
+    """Tags in order, in time linear in the page; comments, scripts and styles come as tags without a name."""
+    at, last = 0, {c: source.rfind(c) for c in ">\"'"}
+    while (i := source.find("<", at)) >= 0:
+        if source.startswith("<!--", i):
+            end = source.find("-->", i + 4)
+            at = end + 3 if end >= 0 else len(source)
+            yield i, at, "", False, "", False
+        elif i > last[">"]:
+            return
+        elif source.startswith("<![CDATA[", i):
+            at = i + 9
+            yield i, at, "", False, "", False
+        elif source[i + 1] in "!?":
+            at = source.index(">", i) + 1
+            yield i, at, "", False, "", False
+        elif m := NAME.match(source, i):
+            end, name = tag_end(source, m.end(), last), m[2].lower()
+            attributes, at = source[m.end() : end], end + 1
+            inside = not m[1] and not attributes.endswith("/")
+            if inside and name in ("script", "style"):
+                close = CLOSE[name].search(source, at)
+                while close and not close[1]:
+                    close = CLOSE[name].search(source, close.end())
+                at = tag_end(source, close.end(), last) + 1 if close else len(source)
+                yield i, at or len(source), "", False, "", False
+                at = at or len(source)
+                continue
+            if inside and name in PLAIN and (close := CLOSE[name].search(source, at)) and close[1]:
+                at = tag_end(source, close.end(), last) + 1 or len(source)
+                yield i, at, name, False, attributes, True
+                continue
+            yield i, at, name, bool(m[1]), attributes, not m[1] and not inside
+        else:
+            at = i + 1
 
 
 class Page:
@@ -105,68 +123,121 @@ class Page:
         self.parent, self.kind, self.tokens, self.tag = [-1], [0], [()], [""]
         self.blocks: list[tuple[int, str, int]] = []  # element, text, characters within links
         self.inputs = [0]
-        open_, names, part, linked, link = [0], [""], [], 0, 0
+        source = source or ""
+        tokens = list(tokens_of(source))
+        closed: set[int] = set()  # tokens of RAW whose end tag comes
+        waiting: dict[str, list[int]] = {}
+        for n, (_, _, tag, ends, _, skipped) in enumerate(tokens):
+            if tag in RAW and not skipped:
+                if not ends:
+                    waiting.setdefault(tag, []).append(n)
+                elif waiting.get(tag):
+                    closed.add(waiting[tag].pop())
+        # what is open: names, the element of each, and whether it hides its text (1: it ends early, 2: with its end tag)
+        names, element, hides = [""], [0], [0]
+        where: dict[str, list[int]] = {}
+        hidden, bounds = [], []  # places of those that hide, and of those that hide to their end tag
+        part: list[str] = []
+        linked = link = 0
 
         def flush() -> None:
             nonlocal part, linked
             if part:
                 text = " ".join(html.unescape("".join(part)).split())
                 if text:
-                    self.blocks.append((open_[-1], text, min(linked, len(text))))
+                    self.blocks.append((element[-1], text, min(linked, len(text))))
                 part, linked = [], 0
 
+        def push(tag: str, e: int, hide: int = 0) -> None:
+            where.setdefault(tag, []).append(len(names))
+            if hide:
+                hidden.append(len(names))
+            if hide == 2:
+                bounds.append(len(names))
+            names.append(tag)
+            element.append(e)
+            hides.append(hide)
+
+        def cut(k: int) -> None:
+            """Closes all from place k."""
+            if not hidden or hidden[0] >= k:
+                flush()
+            while len(names) > k:
+                where[names.pop()].pop()
+                element.pop()
+                if h := hides.pop():
+                    hidden.pop()
+                    if h == 2:
+                        bounds.pop()
+
+        def place(*tags: str) -> int:
+            return max((where[t][-1] for t in tags if where.get(t)), default=0)
+
         end = 0
-        source = source or ""
-        while m := TOKEN.search(source, end):
-            if m.start() > end:
-                part.append(source[end : m.start()])
-                linked += (m.start() - end) if link else 0
-            end = m.end()
-            if not m[5]:
-                if m[2]:
-                    raw = m[2].lower()
-                    self.inputs[open_[-1]] += raw in ("textarea", "select")
+        for n, (start, after, tag, ends, attributes, skipped) in enumerate([*tokens, (len(source), len(source), "", False, "", False)]):
+            text, end = source[end:start], after
+            if hidden and names[-1] == "head" and hides[-1] == 1 and text.strip():
+                cut(len(names) - 1)  # the body begins
+            if not hidden and text:
+                part.append(text)
+                linked += len(text) if link else 0
+            if not tag:
+                continue
+            if hidden and where.get("head") and not ends and tag not in HEAD:
+                cut(place("head"))
+            kind = KIND.get(tag)
+            if ends:
+                if where.get(tag):
+                    if kind is not None:
+                        link = 0
+                    if tag in RAW:
+                        text_so_far, part = part, []  # the text around what hides is one block
+                        cut(place(tag))
+                        part = text_so_far
+                    else:
+                        cut(place(tag))
+                elif kind is not None and not hidden:
+                    flush()
+                elif tag == "a":
+                    link = max(0, link - 1)
+                continue
+            if tag in RAW:
+                if not hidden:
+                    self.inputs[element[-1]] += tag in ("textarea", "select")
                     part.append(" ")
-                    end = head_end(source, end) if raw == "head" and not m[3] else raw_end(source, m, names)
+                if not skipped:
+                    push(tag, element[-1], 2 if n in closed else 1)
                 continue
-            tag, kind = m[5].lower(), KIND.get(m[5].lower())
             if kind is None:
-                if tag == "a":
-                    link = max(0, link - 1) if m[4] else link + 1
-                elif tag in VOID:
-                    part.append(" ")
-                    self.inputs[open_[-1]] += tag == "input"
+                if not hidden:
+                    if tag == "a":
+                        link += 1
+                    elif tag in VOID:
+                        part.append(" ")
+                        self.inputs[element[-1]] += tag == "input"
                 continue
-            flush()
-            if m[4]:
-                if tag in names:
-                    while names[-1] != tag:
-                        open_.pop()
-                        names.pop()
-                    open_.pop()
-                    names.pop()
-                    link = 0
+            bound = bounds[-1] if bounds else 0
+            option = tag == "option" and place("select") > bound
+            if not option:
+                if (k := bisect_right(hidden, bound)) < len(hidden):
+                    cut(hidden[k])  # what is never closed ends at the next block
+                if (k := place("p")) > bound and tag != "button":
+                    cut(k)
+            if tag in ENDS and (k := place(*ENDS[tag])) > max(bound, place(*SCOPE)):
+                cut(k)
+            if hidden:
+                if tag not in VOID:
+                    push(tag, element[-1])
                 continue
+            flush()
             link = 0
-            if "p" in names and tag != "button":
-                at = len(names) - 1 - names[::-1].index("p")
-                del open_[at:], names[at:]
-            for k in range(len(names) - 1, 0, -1) if tag in ENDS else ():
-                if names[k] in ENDS[tag]:
-                    del open_[k:], names[k:]
-                    break
-                if names[k] in SCOPE:
-                    break
-            self.parent.append(open_[-1])
+            self.parent.append(element[-1])
             self.kind.append(kind)
             self.tag.append(tag)
             self.inputs.append(0)
-            self.tokens.append(tuple(t for a in ATTRIBUTE.finditer(m[6]) for t in SPLIT.split((a[1] or a[2] or a[3] or "").lower()) if t) if "=" in m[6] else ())
+            self.tokens.append(tuple(t for a in ATTRIBUTE.finditer(attributes) for t in SPLIT.split((a[1] or a[2] or a[3] or "").lower()) if t) if "=" in attributes else ())
             if tag not in VOID:
-                open_.append(len(self.parent) - 1)
-                names.append(tag)
-        if end < len(source):
-            part.append(source[end:])
+                push(tag, len(self.parent) - 1)
         flush()
 
     def features(self) -> np.ndarray:
