@@ -10,6 +10,9 @@ wrapped over lines and may begin or end with foreign characters, as after "key/"
 four alignments, and the part is what reads as one, out to the next / - _ or + and of the lines that hold
 what was found. What is found in a layer is reported in the outermost text's code points.
 
+Escapes are undone layer by layer, and from the fifth on all at once, so that long chains of them take
+time linear in the text. Bytes are read as ASCII, UTF-8, Latin-1 or UTF-16.
+
 Streams are looked for anywhere in a part's bytes and unwrapped again while they hold streams. No size
 is cut: what swells beyond `MOST_GROWTH` goes to a temporary file and is scanned in pieces that end where
 no pattern can match, and the text is marked `swollen`.
@@ -34,6 +37,7 @@ from collections.abc import Callable, Iterator
 from functools import cached_property, partial
 from itertools import accumulate
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -70,7 +74,17 @@ APART = re.compile(rb"[^A-Za-z0-9+/_.=%\\&#;:\"' \t\r\n-]")
 CHUNK = 1 << 16
 MOST_GROWTH = 1 << 24
 
+#: UTF-16 text without characters beyond Latin-1.
+WIDE = re.compile(rb"(?:[\t\n\r -~]\0){14,}|(?:\0[\t\n\r -~]){14,}")
+#: An escape that ends here, and what ends one.
+TAIL = re.compile(r"(?:%([0-9A-Fa-f]{2})|\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})|&#x([0-9A-Fa-f]{1,6});|&#([0-9]{1,7});)\Z")
+LAST = set("0123456789abcdefABCDEF;")
+#: Layers of escapes that are scanned one by one.
+LAYERS = 4
+
 Span = tuple[int, int, int]  # start, index of kind, end
+Map = tuple[np.ndarray, np.ndarray]  # for each character where it comes from
+Layer = tuple[str, np.ndarray, np.ndarray]
 Content = str | bytes | mmap.mmap
 Where = tuple[int, int] | Callable[[], list[tuple[int, int]]]
 
@@ -82,18 +96,22 @@ def base_spans(text: str) -> list[Span]:
     return out + [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
 
 
-def _escapes(text: str) -> tuple[str, list[tuple[int, int]]] | None:
-    """The text with URL and Unicode escapes undone, and for each character its source range."""
+def _escapes(text: str) -> Layer | None:
+    """The text with one layer of URL and Unicode escapes undone, and for each character its source range."""
     out: list[str] = []
-    where: list[tuple[int, int]] = []
+    starts: list[np.ndarray | list[int]] = []
+    ends: list[np.ndarray | list[int]] = []
     end = 0
 
     def plain(a: int, b: int) -> None:
-        out.append(text[a:b])
-        where.extend((i, i + 1) for i in range(a, b))
+        if a < b:
+            out.append(text[a:b])
+            starts.append(np.arange(a, b))
+            ends.append(np.arange(a + 1, b + 1))
 
     for m in sorted([*PERCENT.finditer(text), *ESCAPE.finditer(text)], key=lambda m: m.start()):
         plain(end, m.start())
+        x, y = [], []
         if m[0][0] == "%":
             data = bytes.fromhex(m[0].replace("%", ""))
             try:
@@ -103,20 +121,62 @@ def _escapes(text: str) -> tuple[str, list[tuple[int, int]]] | None:
             at = m.start()
             exact = len(decoded.encode()) == len(data)
             for c in decoded:
-                width = 3 * (len(c.encode()) if exact else 1)
-                where.append((at, at + width))
-                at += width
+                x.append(at)
+                at += 3 * (len(c.encode()) if exact else 1)
+                y.append(at)
             out.append(decoded)
         else:
             for e in ONE_ESCAPE.finditer(m[0]):
                 code = int(e[4]) if e[4] else int(e[1] or e[2] or e[3], 16)
                 out.append(chr(code) if code < 0x110000 else e[0][0])
-                where.append((m.start() + e.start(), m.start() + e.end()))
+                x.append(m.start() + e.start())
+                y.append(m.start() + e.end())
+        starts.append(x)
+        ends.append(y)
         end = m.end()
     if not end:
         return None
     plain(end, len(text))
-    return "".join(out), where
+    return "".join(out), np.concatenate(starts).astype(np.int64), np.concatenate(ends).astype(np.int64)
+
+
+def _all_escapes(text: str) -> Layer | None:
+    """The same with all layers undone at once: what an escape gives is met with what stands before it, so time is linear."""
+    if not HINT.search(text):
+        return None
+    out: list[str] = []
+    starts: list[int] = []
+    ends: list[int] = []
+    some = False
+    for i, c in enumerate(text):
+        begin, end = i, i + 1
+        while c:
+            out.append(c)
+            starts.append(begin)
+            ends.append(end)
+            if c not in LAST:
+                break
+            m = TAIL.search("".join(out[-10:]))
+            if not m:
+                break
+            code = int(m[5]) if m[5] else int(m[1] or m[2] or m[3] or m[4], 16)
+            begin, some = starts[-len(m[0])], True
+            del out[-len(m[0]) :], starts[-len(m[0]) :], ends[-len(m[0]) :]
+            c = chr(code) if code < 0x110000 else "?"
+    return ("".join(out), np.array(starts, np.int64), np.array(ends, np.int64)) if some else None
+
+
+def views(text: str) -> Iterator[tuple[str, Map | None]]:
+    """The text and what its escapes give: the outer LAYERS one by one, then all that are left at once."""
+    yield text, None
+    where = None
+    for n in range(LAYERS + 1):
+        got = _escapes(text) if n < LAYERS else _all_escapes(text)
+        if not got:
+            return
+        text, a, b = got
+        where = (a, b) if where is None else (where[0][a], where[1][b - 1])
+        yield text, where
 
 
 def _stream(data: bytes | mmap.mmap, at: int, sink) -> int | None:
@@ -186,6 +246,8 @@ def _texts(data: bytes | mmap.mmap) -> Iterator[str]:
             yield data[a:b].decode("ascii")
             a = b
         yield data[a:end].decode("ascii")
+    for m in WIDE.finditer(data):
+        yield m[0].replace(b"\0", b"").decode("ascii")
 
 
 class Run:
@@ -240,6 +302,8 @@ class Run:
                             yield m[0], bounds
                         else:
                             yield m[0].decode("ascii"), partial(self.ranges, shift, *m.span(), *bounds)
+            for m in WIDE.finditer(data):
+                yield m[0], self.range(shift, *m.span(), *self.bounds(shift, *m.span(), len(data)))
             if STREAM.search(data):
                 for a, b, held in _streams(data, swollen):
                     yield held, self.range(shift, a, b, *self.bounds(shift, a, b, len(data)))
@@ -263,20 +327,20 @@ def _digest(item: Content) -> bytes:
     return hashlib.blake2b(item.encode("utf-8", "surrogatepass") if isinstance(item, str) else item, digest_size=16).digest()
 
 
-def _inner(item: str | bytes | mmap.mmap, swollen: list[bool]) -> Iterator[Content]:
-    """What a text's escapes and parts, or a part's bytes, decode to."""
+def _inner(item: Content, kinds: set[int], swollen: list[bool]) -> Iterator[Content]:
+    """What a text's escapes and parts, or a part's bytes, hold; adds the kinds of the texts to `kinds`."""
     if isinstance(item, str):
-        if undone := _escapes(item):
-            yield undone[0]
-        for held, _ in _parts(item, swollen):
-            yield held
+        for text, _ in views(item):
+            kinds |= {kind for _, kind, _ in base_spans(text)}
+            for held, _ in _parts(text, swollen):
+                yield held
         return
     yield from _texts(item)
     for _, _, data in _streams(item, swollen):
         yield data
 
 
-def _kinds(part: bytes, known: dict[bytes, set[int]], swollen: list[bool]) -> set[int]:
+def _kinds(part: Content, known: dict[bytes, set[int]], swollen: list[bool]) -> set[int]:
     """The kinds of all that a part holds in any layer; `known` has what equal parts gave."""
     first = _digest(part)
     if first not in known:
@@ -289,9 +353,7 @@ def _kinds(part: bytes, known: dict[bytes, set[int]], swollen: list[bool]) -> se
             digest = (isinstance(item, str), _digest(item))
             if digest not in seen:
                 seen.add(digest)
-                if isinstance(item, str):
-                    kinds |= {kind for _, kind, _ in base_spans(item)}
-                work.append(_inner(item, swollen))
+                work.append(_inner(item, kinds, swollen))
         known[first] = kinds
     return known[first]
 
@@ -306,27 +368,29 @@ def scan(text: str | None) -> tuple[list[Span], list[Span], bool]:
     found = set(base)
     known: dict[bytes, set[int]] = {}
     swollen = [False]
-    work: deque[tuple[str, list[tuple[int, int]] | None]] = deque([(text, None)])
-
-    def outer(where, a: int, b: int) -> tuple[int, int]:
-        return (a, b) if where is None else (where[a][0], where[b - 1][1])
-
+    work: deque[tuple[str, Map | None]] = deque([(text, None)])
     while work:
-        layer, where = work.popleft()
-        if where is not None:
-            for a, kind, b in base_spans(layer):
-                x, y = outer(where, a, b)
-                found.add((x, kind, y))
-        # what is undone is shorter, so this ends
-        if undone := _escapes(layer):
-            inner, source = undone
-            work.append((inner, [outer(where, a, b) for a, b in source]))
-        for held, at in _parts(layer, swollen):
-            if callable(at):
-                work.append((held, [outer(where, a, b) for a, b in at()]))
-            else:
-                x, y = outer(where, *at)
-                found |= {(x, kind, y) for kind in _kinds(held, known, swollen)}
+        item, outside = work.popleft()
+        for layer, where in views(item):
+            if where is None:
+                where = outside
+            elif outside is not None:
+                where = outside[0][where[0]], outside[1][where[1] - 1]
+
+            def outer(a: int, b: int, where=where) -> tuple[int, int]:
+                return (a, b) if where is None else (int(where[0][a]), int(where[1][b - 1]))
+
+            if where is not None:
+                for a, kind, b in base_spans(layer):
+                    x, y = outer(a, b)
+                    found.add((x, kind, y))
+            for held, at in _parts(layer, swollen):
+                if callable(at):
+                    places = [outer(a, b) for a, b in at()]
+                    work.append((held, (np.array([a for a, _ in places]), np.array([b for _, b in places]))))
+                else:
+                    x, y = outer(*at)
+                    found |= {(x, kind, y) for kind in _kinds(held, known, swollen)}
     return base, sorted(found), swollen[0]
 
 

@@ -8,6 +8,7 @@ import hashlib
 import itertools
 import random
 import re
+import time
 import urllib.parse
 import zlib
 
@@ -317,6 +318,40 @@ def test_secrets_in_nested_streams():
             assert any("password=hunter2hunter2" in x for x in secrets._texts(long[:at] + b" password=hunter2hunter2 " + long[at:]))
 
 
+def test_secrets_in_chains_of_escapes():
+    plain = "password=hunter2hunter2"
+    for depth in range(1, 12):
+        for wrap in (urllib.parse.quote, lambda x: "".join(f"\\x{ord(c):02x}" for c in x), lambda x: x.replace("%", "%25").replace("=", "%3D"), lambda x: x.replace("\\", "\\u005c").replace("=", "\\u003d"), lambda x: x.replace("&", "&#38;").replace("=", "&#61;")):
+            text = plain
+            for _ in range(depth if len(text) < 20_000 else 0):
+                if len(text) < 20_000:
+                    text = wrap(text)
+            if text != plain:
+                base, every, _ = secrets.scan(f"é {text} z")
+                assert any(k == 0 and a >= 2 and b <= len(text) + 2 for a, k, b in every), (depth, text[:80])
+    for chain in ("%" + "25" * 100_000 + "41", "\\x5c" + "x5c" * 60_000, "%5C" + "x255C" * 40_000, "&#38;" + "#38;" * 50_000, "%25" * 60_000):
+        began = time.perf_counter()
+        secrets.scan(chain)
+        assert time.perf_counter() - began < 8
+    for wide in ("utf-16-le", "utf-16-be", "utf-16", "latin-1"):
+        data = f"see {plain} end é".encode(wide)
+        for part in (base64.b64encode(data).decode(), data.hex(), base64.b64encode(gzip.compress(data, mtime=0)).decode()):
+            assert secrets.masked(f"a {part} b").replace("//[", "[") == "a [SECRET] b", (wide, part)  # "//" begins a byte order mark
+
+
+def test_secrets_against_a_plain_decoder():
+    """Generated nestings: what is wrapped is found, at the place of its wrapping, and nothing else is."""
+    rng = random.Random(11)
+    steps = [urllib.parse.quote, lambda x: base64.b64encode(x.encode()).decode(), lambda x: x.encode().hex(), lambda x: base64.b64encode(gzip.compress(x.encode(), mtime=0)).decode(), lambda x: base64.b64encode(bz2.compress(x.encode())).decode(), lambda x: "".join(f"\\u{ord(c):04x}" for c in x)]
+    for n in range(150):
+        secret = rng.random() < 0.6
+        text = f"id {n} password=hunter2hunter2 {rng.random()}" if secret else f"id {n} nothing to be seen {rng.random()}"
+        for _ in range(rng.randint(1, 4)):
+            text = rng.choice(steps)(text) if len(text) < 5000 else text
+        every = [(a, b) for a, k, b in secrets.scan(f"before {text} after")[1] if k == 0]
+        assert bool(every) == secret and all(a >= 7 and b <= 7 + len(text) for a, b in every), text[:100]
+
+
 def test_secrets_in_wrapped_and_foreign_runs():
     plain = b"see password=hunter2hunter2 and so on, \xc3\xa9"
     for data in (plain, gzip.compress(plain, mtime=0), plain * 5):
