@@ -1,17 +1,20 @@
 """Operator 5, media columns: local image descriptors that find cropped or edited copies.
 
-Each greyscale image gives up to `POINTS` corners (Harris response, over several scales), each with
-an orientation from the intensity centroid and 128 binary tests in the turned frame. Descriptors
-meet in Hamming tables: one table for each 32-bit quarter, so that two descriptors that differ in at
-most three bits always meet and ones that differ more usually do. A pair of images is reported if a
-similarity transform (scale, turn, shift) that one of its matches proposes agrees with at least `LEAST`
-matches.
-
-Queries are met in blocks of about `BLOCK` images, whose descriptors (a fixed size) are sent to the
-workers; every block meets every indexed image, row by row, so no group of copies is ever gathered.
-
-Defined results: a null, malformed or flat image has no corners and matches nothing, not itself either;
-repeated rows match each other. Extra columns are ignored.
+Each greyscale image gives its corners (local maxima of the Harris response, at scales a factor `STEP` apart
+down to the smallest that holds a patch; their number grows with the image), each with an orientation from
+the intensity centroid and 128 binary tests in the turned frame. Equal images (same pixels) are one class and
+are described once. Descriptors meet in Hamming tables, each on a part of the tests, by a shuffled join of
+the queried classes and all classes; a key takes the tests of a point and of a neighbour with their places to one
+another. Two classes that share `SEEDS` keys or more are compared whole: each descriptor with the nearest of the
+other image within `DISTANCE` bits, and the pair is a copy if a similarity transform (scale, turn, shift) that one
+of these matches proposes agrees with `LEAST` of them or more. So a copy need only share a few keys, and is then
+judged by all its corners.
+
+Nothing is collected or sent to all workers; a key that very many images have is split by the join, and a row
+for each image keeps the result as long as the input.
+
+Defined results: a null or malformed image has no class and matches nothing; a flat image has no corners, and
+only equal images match it; repeated rows are equal images. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,16 +28,18 @@ from pyspark.sql import functions as F
 
 from .shared import Scratch, only
 
-POINTS, TESTS, BLOCK, LEAST = 40, 128, 1024, 10
-SCALES = (1.0, 0.8, 0.64, 0.5)
-DISTANCE = 24
-#: Hamming tables, each on its part of the tests.
-PARTS = 4
+TESTS, STEP, DISTANCE, SEEDS, LEAST = 128, 0.8, 28, 4, 10
+#: How far a match's own turn (radians) and scale (logarithm) may be from the transform's.
+TURN, RESIZE = 0.5, 0.4
+#: Hamming tables, the tests in each, and how many neighbours of a point make a key with it.
+TABLES, BITS, NEAR = 2, 26, 2
 RADIUS = 7
 _rng = np.random.default_rng(7)
 PAIRS = np.clip(_rng.normal(0, RADIUS / 2.2, (TESTS, 4)), -RADIUS + 1, RADIUS - 1)
 _OFFSET = np.arange(-RADIUS, RADIUS + 1)
 _DISC = (_OFFSET[:, None] ** 2 + _OFFSET[None, :] ** 2) <= RADIUS**2
+#: A point: place, scale, angle, and the tests as two words.
+POINT = np.dtype([("x", "f4"), ("y", "f4"), ("scale", "f4"), ("angle", "f4"), ("words", "u8", (2,))])
 
 
 def smoothed(x: np.ndarray) -> np.ndarray:
@@ -58,12 +63,10 @@ def scaled(x: np.ndarray, factor: float) -> np.ndarray:
 
 
 def describe(image: np.ndarray) -> np.ndarray:
-    """Rows (x, y, scale, angle, four 32-bit words of tests), strongest first."""
-    out = []
-    for factor in SCALES:
+    """The image's points."""
+    out, factor = [np.empty(0, POINT)], 1.0
+    while min(image.shape) * factor > 2 * RADIUS + 2.5:
         x = smoothed(scaled(image, factor) if factor != 1 else image.astype(float))
-        if min(x.shape) <= 2 * RADIUS + 2:
-            continue
         gy, gx = np.gradient(x)
         xx, yy, xy = smoothed(gx * gx), smoothed(gy * gy), smoothed(gx * gy)
         response = xx * yy - xy * xy - 0.05 * (xx + yy) ** 2
@@ -75,18 +78,50 @@ def describe(image: np.ndarray) -> np.ndarray:
             for j in range(3):
                 if (i, j) != (1, 1):
                     peak &= inner >= p[i : i + h, j : j + w]
-        rows, cols = np.nonzero(peak)
-        for k in np.argsort(-inner[rows, cols], kind="stable")[:POINTS]:
-            r, c = rows[k] + RADIUS, cols[k] + RADIUS
-            patch = np.where(_DISC, x[r - RADIUS : r + RADIUS + 1, c - RADIUS : c + RADIUS + 1], 0)
-            angle = np.arctan2((patch.sum(axis=1) * _OFFSET).sum(), (patch.sum(axis=0) * _OFFSET).sum())
-            cos, sin = np.cos(angle), np.sin(angle)
-            t = np.clip(np.rint(np.column_stack([PAIRS[:, 0] * sin + PAIRS[:, 1] * cos, PAIRS[:, 0] * cos - PAIRS[:, 1] * sin, PAIRS[:, 2] * sin + PAIRS[:, 3] * cos, PAIRS[:, 2] * cos - PAIRS[:, 3] * sin])), -RADIUS, RADIUS).astype(int)
-            bits = x[r + t[:, 0], c + t[:, 1]] < x[r + t[:, 2], c + t[:, 3]]
-            words = np.packbits(bits).view(">u4").astype(np.int64)
-            out.append((inner[rows[k], cols[k]], ((c + 0.5) / factor, (r + 0.5) / factor, 1 / factor, angle, *words)))
-    out.sort(key=lambda x: -x[0])
-    return np.array([x for _, x in out[:POINTS]], float).reshape(-1, 8)
+        r, c = np.nonzero(peak)
+        if len(r):
+            r, c = r + RADIUS, c + RADIUS
+            patch = x[r[:, None, None] + _OFFSET[None, :, None], c[:, None, None] + _OFFSET[None, None, :]] * _DISC
+            angle = np.arctan2((patch * _OFFSET[:, None]).sum(axis=(1, 2)), (patch * _OFFSET[None, :]).sum(axis=(1, 2)))
+            cos, sin = np.cos(angle)[:, None], np.sin(angle)[:, None]
+            turned = [PAIRS[:, 0] * sin + PAIRS[:, 1] * cos, PAIRS[:, 0] * cos - PAIRS[:, 1] * sin, PAIRS[:, 2] * sin + PAIRS[:, 3] * cos, PAIRS[:, 2] * cos - PAIRS[:, 3] * sin]
+            t = [np.clip(np.rint(v), -RADIUS, RADIUS).astype(int) for v in turned]
+            bits = x[r[:, None] + t[0], c[:, None] + t[1]] < x[r[:, None] + t[2], c[:, None] + t[3]]
+            points = np.zeros(len(r), POINT)
+            points["x"], points["y"], points["scale"], points["angle"] = (c + 0.5) / factor, (r + 0.5) / factor, 1 / factor, angle
+            points["words"] = np.packbits(bits, axis=1).view("<u8")
+            out.append(points)
+        factor *= STEP
+    return np.concatenate(out)
+
+
+def keys_of(points: np.ndarray) -> np.ndarray:
+    """The distinct keys of an image in the Hamming tables.
+
+    A key is a table's tests of a point and of one of its NEAR nearest points of the same scale, how much the one is
+    turned against the other, and where it stands in the other's frame, all in eighths of a turn. One point's tests alone
+    would meet in most pairs of smooth images.
+    """
+    out = [np.empty(0, np.int64)]
+    for scale in np.unique(points["scale"]):
+        p = points[points["scale"] == scale]
+        if len(p) < 2:
+            continue
+        codes = [(p["words"][:, 0] >> np.uint64(t * BITS)) & np.uint64((1 << BITS) - 1) for t in range(TABLES)]
+        for i in range(0, len(p), 256):
+            dx, dy = (p[c][None, :] - p[c][i : i + 256, None] for c in ("x", "y"))
+            d = np.hypot(dx, dy) / scale
+            d[d < RADIUS / 2] = np.inf
+            one = np.repeat(np.arange(i, i + len(d)), min(NEAR, len(p)))
+            two = np.argsort(d, axis=1, kind="stable")[:, :NEAR].ravel()
+            fine = np.isfinite(d[one - i, two])
+            one, two = one[fine], two[fine]
+            eighth = lambda a: (np.floor(a / (np.pi / 4) + 0.5) % 8).astype(np.uint64)
+            turn = eighth(p["angle"][two] - p["angle"][one])
+            side = eighth(np.arctan2(dy[one - i, two], dx[one - i, two]) - p["angle"][one])
+            for t, code in enumerate(codes):
+                out.append(((((np.uint64(t) << np.uint64(BITS) | code[one]) << np.uint64(BITS) | code[two]) << np.uint64(6)) | turn << np.uint64(3) | side).astype(np.int64))
+    return np.unique(np.concatenate(out))
 
 
 def pixels(data: bytes | None, width: int | None, height: int | None) -> np.ndarray | None:
@@ -95,131 +130,129 @@ def pixels(data: bytes | None, width: int | None, height: int | None) -> np.ndar
     return np.frombuffer(data, np.uint8).reshape(height, width)
 
 
+def image_key() -> F.Column:
+    """What equal images share; null for null and malformed ones."""
+    sound = (F.col("width") > 0) & (F.col("height") > 0) & (F.octet_length("pixels") == F.col("width").cast("long") * F.col("height"))
+    return F.when(sound, F.xxhash64("width", "height", "pixels"))
+
+
 def descriptors(images: DataFrame) -> DataFrame:
-    """(id, points) of images(id, width, height, pixels): points holds rows of `describe` as doubles."""
+    """(image, points) of images(image, width, height, pixels)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for data, w, h in zip(batch.column("pixels"), batch.column("width").to_pylist(), batch.column("height").to_pylist(), strict=True):
-                image = pixels(data.as_py(), w, h)
-                out.append(b"" if image is None else describe(image).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(out, pa.binary())], ["id", "points"])
-
-    return only(images, "id", "width", "height", "pixels").mapInArrow(run, "id long, points binary")
-
-
-def parts_of(words: np.ndarray) -> np.ndarray:
-    """A key for each descriptor and table: a word and the table's number."""
-    return (words + (np.arange(PARTS, dtype=np.int64) << 32)).ravel()
-
-
-class Tables:
-    """Hamming tables of a block of images."""
-
-    def __init__(self, rows: list[tuple[int, bytes]]):
-        rows = sorted((i, p) for i, p in rows if p)
-        self.ids = np.array([i for i, _ in rows], np.int64)
-        parts = [np.frombuffer(p).reshape(-1, 8) for _, p in rows]
-        self.points = np.concatenate([np.empty((0, 8)), *parts])
-        self.owner = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
-        words = self.points[:, 4:].astype(np.int64)
-        keys = parts_of(words)
-        self.order = np.argsort(keys, kind="stable")
-        self.keys = keys[self.order]
-        self.words = words
-
-    def meet(self, points: np.ndarray) -> Iterator[tuple[int, int]]:
-        """(id, agreeing matches) of the block's images that the image with these points is a copy of."""
-        words = points[:, 4:].astype(np.int64)
-        keys = parts_of(words)
-        a, b = np.searchsorted(self.keys, keys, "left"), np.searchsorted(self.keys, keys, "right")
-        n = b - a
-        if not n.any():
-            return
-        mine = np.repeat(np.arange(len(keys)), n) // PARTS
-        theirs = self.order[np.repeat(a - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())] // PARTS
-        pair = np.unique(mine * (len(self.points) + 1) + theirs)
-        mine, theirs = pair // (len(self.points) + 1), pair % (len(self.points) + 1)
-        near = np.bitwise_count(words[mine] ^ self.words[theirs]).sum(axis=1) <= DISTANCE
-        mine, theirs = mine[near], theirs[near]
-        order = np.argsort(self.owner[theirs], kind="stable")
-        mine, theirs = mine[order], theirs[order]
-        edges = np.flatnonzero(np.diff(self.owner[theirs], prepend=-1, append=-1))
-        for s, e in zip(edges[:-1], edges[1:], strict=True):
-            if e - s >= LEAST and (found := agreement(points[mine[s:e]], self.points[theirs[s:e]], mine[s:e])) >= LEAST:
-                yield int(self.ids[self.owner[theirs[s]]]), found
-
-
-def agreement(p: np.ndarray, q: np.ndarray, which: np.ndarray) -> int:
-    """The most matches (each point once) that one match's similarity transform brings within a few pixels."""
-    s = q[:, 2] / p[:, 2]
-    t = q[:, 3] - p[:, 3]
+            points = [describe(pixels(d.as_py(), w, h)).tobytes() for d, w, h in zip(batch.column("pixels"), batch.column("width").to_pylist(), batch.column("height").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("image"), pa.array(points, pa.binary())], ["image", "points"])
+
+    return images.select("image", "width", "height", "pixels").mapInArrow(run, "image long, points binary")
+
+
+def keyed(described: DataFrame, name: str) -> DataFrame:
+    """(name, key) of images(image, points)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = [keys_of(np.frombuffer(p.as_py(), POINT)) for p in batch.column("points")]
+            ids = np.repeat(batch.column("image").to_numpy(), [len(k) for k in keys])
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.concatenate([np.empty(0, np.int64), *keys]))], [name, "key"])
+
+    return described.mapInArrow(run, f"{name} long, key long")
+
+
+def agreement(p: np.ndarray, q: np.ndarray) -> int:
+    """The most matches that one match's similarity transform brings within a few pixels, with about its own turn and scale; each place of either image counts once."""
+    s = q["scale"].astype(float) / p["scale"]
+    t = q["angle"].astype(float) - p["angle"]
     cos, sin = s * np.cos(t), s * np.sin(t)
-    dx = q[:, 0] - (cos * p[:, 0] - sin * p[:, 1])
-    dy = q[:, 1] - (sin * p[:, 0] + cos * p[:, 1])
-    x = cos[:, None] * p[None, :, 0] - sin[:, None] * p[None, :, 1] + dx[:, None]
-    y = sin[:, None] * p[None, :, 0] + cos[:, None] * p[None, :, 1] + dy[:, None]
-    good = np.hypot(x - q[None, :, 0], y - q[None, :, 1]) <= 3.0 * np.maximum(1.0, s)[:, None]
-    best = int(good.sum(axis=1).argmax())
-    return len(set(which[good[best]].tolist()))
+    px, py, qx, qy = (v.astype(float) for v in (p["x"], p["y"], q["x"], q["y"]))
+    x = cos[:, None] * px[None, :] - sin[:, None] * py[None, :] + (qx - cos * px + sin * py)[:, None]
+    y = sin[:, None] * px[None, :] + cos[:, None] * py[None, :] + (qy - sin * px - cos * py)[:, None]
+    good = np.hypot(x - qx[None, :], y - qy[None, :]) <= 3.0 * np.maximum(1.0, s)[:, None]
+    good &= np.abs((t[None, :] - t[:, None] + np.pi) % (2 * np.pi) - np.pi) <= TURN
+    good &= np.abs(np.log(s)[None, :] - np.log(s)[:, None]) <= RESIZE
+    best = good[int(good.sum(axis=1).argmax())]
+    spots = lambda x, y: len(np.unique(np.rint(x[best] / 3) * 1e5 + np.rint(y[best] / 3)))  # noqa: E731  scales repeat corners
+    return min(spots(px, py), spots(qx, qy))
+
+
+def inliers(a: np.ndarray, b: np.ndarray) -> int:
+    """How many of two images' points agree on one transform."""
+    if len(a) > len(b):
+        a, b = b, a
+    nearest, far = np.zeros(len(a), int), np.zeros(len(a), int)
+    for i in range(0, len(a), 256):
+        d = np.bitwise_count(a["words"][i : i + 256, None, :] ^ b["words"][None, :, :]).sum(axis=2, dtype=np.int64)
+        nearest[i : i + 256] = d.argmin(axis=1)
+        far[i : i + 256] = d.min(axis=1)
+    near = np.flatnonzero(far <= DISTANCE)
+    return agreement(a[near], b[nearest[near]]) if len(near) >= LEAST else 0
+
+
+def confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(query, image, a, b) -> (query, image, inliers) of the pairs that are copies."""
+    for batch in batches:
+        got = [inliers(np.frombuffer(a.as_py(), POINT), np.frombuffer(b.as_py(), POINT)) for a, b in zip(batch.column("a"), batch.column("b"), strict=True)]
+        n = pa.array(got, pa.int64())
+        yield pa.RecordBatch.from_arrays([batch.column("query"), batch.column("image"), n], ["query", "image", "inliers"]).filter(pa.array([x >= LEAST for x in got], pa.bool_()))
+
+
+def pairs(queries: F.Column, images: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows (id, image, asked), classes (image, class_id, copies, n_queries) and pairs (query, image, inliers) of classes.
+
+    Queries are those images for which `queries`, a condition on id, holds.
+    """
+    known = only(images, "id", "width", "height", "pixels").withColumn("image", image_key())
+    rows = scratch.keep(known.select("id", "image", F.coalesce(queries, F.lit(False)).alias("asked")))
+    classes = rows.where("image is not null").groupBy("image").agg(F.min("id").alias("class_id"), F.min(F.struct(F.col("id").isNull(), "id")).alias("top"), F.count("*").alias("copies"), F.sum(F.col("asked").cast("long")).alias("n_queries"))
+    classes = scratch.keep(classes)
+    one = classes.select("image", F.col("top.id").alias("id"))
+    first = known.join(one.withColumnRenamed("id", "top_id").withColumnRenamed("image", "top"), (F.col("image") == F.col("top")) & F.col("id").eqNullSafe(F.col("top_id")), "left_semi")
+    described = scratch.keep(descriptors(first).dropDuplicates(["image"]))
+    asked = described.join(classes.where("n_queries > 0").select("image"), "image", "left_semi")
+    met = keyed(asked, "query").join(keyed(described, "image"), "key").where("query <> image")
+    seeds = scratch.keep(met.groupBy("query", "image").agg(F.count("*").alias("n")).where(F.col("n") >= SEEDS).select("query", "image"))
+    both = seeds.join(described.select(F.col("image").alias("query"), F.col("points").alias("a")), "query").join(described.select("image", F.col("points").alias("b")), "image")
+    found = scratch.keep(both.select("query", "image", "a", "b").mapInArrow(confirmed, "query long, image long, inliers long"))
+    return rows, classes, found
 
 
-MATCHES = "array<struct<query_id:long,inliers:long>>"
+MATCHES = "array<struct<class_id:long,inliers:long,n_queries:long>>"
 
 
 def matched(queries: F.Column, images: DataFrame) -> DataFrame:
-    """One row for each image: (id, matches), matches holding the queried images that it is a copy of.
+    """One row for each image: (id, class_id, n_matches, matches).
 
-    Queries are those images for which `queries`, a condition on id, holds. A row for each image keeps the
-    result as long as the input, however large groups of copies are.
+    class_id is the least id of the equal images; matches holds the classes with queries that the image is a copy of, with
+    the number of queries in each; n_matches counts these queries and those equal to the image, itself aside.
     """
-    spark = images.sparkSession
-    scratch = Scratch(spark, "op5")
-    index = scratch.keep(descriptors(images))
-    asked = index.where(queries)
-    blocks = max(1, -(-asked.count() // BLOCK))
-    kind = pa.list_(pa.struct([("query_id", pa.int64()), ("inliers", pa.int64())]))
-    parts = []
-    for k in range(blocks):
-        rows = asked.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == k).collect()
-        shipped = spark.sparkContext.broadcast(Tables([(r["id"], bytes(r["points"])) for r in rows if r["id"] is not None]))
-
-        def run(batches: Iterator[pa.RecordBatch], shipped=shipped) -> Iterator[pa.RecordBatch]:
-            tables = shipped.value
-            for batch in batches:
-                found = []
-                for image, data in zip(batch.column("id").to_pylist(), batch.column("points"), strict=True):
-                    data = data.as_py()
-                    met = tables.meet(np.frombuffer(data).reshape(-1, 8)) if data and len(tables.ids) else ()
-                    found.append([{"query_id": q, "inliers": n} for q, n in sorted(met) if q != image])
-                yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(found, kind)], ["id", "matches"])
-
-        parts.append(index.mapInArrow(run, f"id long, matches {MATCHES}"))
-    if blocks == 1:
-        return parts[0]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.union(part)
-    return out.groupBy("id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("matches")))).alias("matches"))
+    scratch = Scratch(images.sparkSession, "op5")
+    rows, classes, found = pairs(queries, images, scratch)
+    named = found.join(classes.select(F.col("image").alias("query"), "class_id", "n_queries"), "query")
+    per = named.groupBy("image").agg(F.array_sort(F.collect_list(F.struct("class_id", "inliers", "n_queries"))).alias("matches"))  # rows are pairs of different images
+    known = classes.join(per, "image", "left").select(F.col("image").alias("key"), "class_id", "n_queries", F.coalesce("matches", F.array().cast(MATCHES)).alias("matches"))
+    out = rows.join(known, rows["image"] == known["key"], "left")
+    others = F.aggregate("matches", F.lit(0).cast("long"), lambda s, m: s + m["n_queries"])
+    n = F.coalesce(F.col("n_queries") - F.col("asked").cast("long") + others, F.lit(0))
+    return out.select("id", F.coalesce("class_id", "id").alias("class_id"), n.cast("long").alias("n_matches"), F.coalesce("matches", F.array().cast(MATCHES)).alias("matches"))
 
 
 def search(queries: F.Column, images: DataFrame) -> DataFrame:
-    """(query_id, match_id, inliers): the same as pairs."""
-    pairs = matched(queries, images).select(F.col("id").alias("match_id"), F.inline("matches"))
-    return pairs.select("query_id", "match_id", "inliers")
+    """(query_id, match_id, inliers): the pairs of different images, by the class_id of each."""
+    _, classes, found = pairs(queries, images, Scratch(images.sparkSession, "op5"))
+    named = lambda a, b: classes.select(F.col("image").alias(a), F.col("class_id").alias(b))
+    return found.join(named("query", "query_id"), "query").join(named("image", "match_id"), "image").select("query_id", "match_id", "inliers")
 
 
 def drawn(vectors: DataFrame, cell: int = 8) -> DataFrame:
-    """Images from vectors(vec_id, embedding): the vector as a square grid of grey values, spread to the full range and enlarged smoothly."""
+    """Images from vectors(vec_id, embedding): the vector as a square grid of grey values (filled up with zeros), spread to the full range and enlarged smoothly."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes, data = [], []
             for v in batch.column("embedding"):
                 x = np.array([f if f is not None else 0.0 for f in v.as_py() or ()])
-                side = int(len(x) ** 0.5)
-                x = np.nan_to_num(x[: side * side].reshape(side, side))
+                side = int(np.ceil(len(x) ** 0.5))
+                x = np.nan_to_num(np.concatenate([x, np.zeros(side * side - len(x))]).reshape(side, side))
                 spread = np.abs(x).max() if side else 0
                 grey = np.rint(127.5 + 127.5 * x / spread).astype(np.uint8) if spread else np.zeros((side, side), np.uint8)
                 image = np.rint(scaled(grey.astype(float), cell)).astype(np.uint8) if side else grey

@@ -47,7 +47,7 @@ def mixed(docs: DataFrame) -> DataFrame:
 def op5_image_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The test tables have no images: their vectors are drawn as smooth grey images."""
     got = local_descriptors.matched(F.col("id") % 100 == 0, local_descriptors.drawn(table(spark, sf_dir, "embeddings")))
-    return got.select(F.col("id").alias("vec_id"), F.size("matches").cast("long").alias("n_matches"), F.col("matches.query_id").alias("query_ids"), F.col("matches.inliers").alias("inliers"))
+    return got.select(F.col("id").alias("vec_id"), "class_id", "n_matches", F.col("matches.class_id").alias("query_classes"), F.col("matches.inliers").alias("inliers"))
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -437,14 +437,73 @@ def test_pii(spark, docs, empty):
     assert pii.replace_docs(docs).count() == docs.count() and pii.replace_docs(empty).count() == 0
 
 
+def grey(x):
+    return np.ascontiguousarray(np.clip(np.rint(x), 0, 255).astype(np.uint8))
+
+
+def texture(rng):
+    """A grey picture with detail at several scales."""
+    n = int(rng.integers(60, 100))
+    x = sum(local_descriptors.scaled(rng.normal(0, 1, (k, k)), (n + k) / k)[:n, :n] * k**-0.5 for k in (4, 8, 16))
+    return 255 * (x - x.min()) / (x.max() - x.min())
+
+
+def image_rows(images):
+    return [(i, x.shape[1], x.shape[0], bytearray(x.tobytes())) for i, x in images.items()]
+
+
+IMAGES = "id long, width int, height int, pixels binary"
+
+
 def test_images(spark):
     rng = np.random.default_rng(5)
-    images = [np.rint(local_descriptors.scaled(rng.integers(0, 255, (8, 8)).astype(float), 8)).astype(np.uint8) for _ in range(20)]
-    edited = {100: np.clip(images[3] * 0.8 + 20, 0, 255).astype(np.uint8), 101: images[4][6:, 4:60], 102: np.rot90(images[5])}
-    rows = [(i, x.shape[1], x.shape[0], bytearray(np.ascontiguousarray(x).tobytes())) for i, x in [*enumerate(images), *edited.items()]] + [(200, 5, 5, None), (201, 9, 9, bytearray(b"x")), (202, 64, 64, bytearray(4096))]
-    df = spark.createDataFrame(rows, "id long, width int, height int, pixels binary")
+    images = dict(enumerate(grey(local_descriptors.scaled(rng.integers(0, 255, (8, 8)).astype(float), 8)) for _ in range(20)))
+    edited = {100: grey(images[3] * 0.8 + 20), 101: grey(images[4][6:, 4:60]), 102: grey(np.rot90(images[5])), 103: images[6], 104: images[6]}
+    flat = {202: np.zeros((64, 64), np.uint8), 203: np.zeros((64, 64), np.uint8)}
+    rows = image_rows(images | edited | flat) + [(200, 5, 5, None), (201, 9, 9, bytearray(b"x")), (None, None, None, None), (None, 3, 3, bytearray(9))]
+    df = spark.createDataFrame(rows, IMAGES).withColumn("image", F.lit(1)).withColumn("a.b", F.lit(2))
     got = {(r.query_id, r.match_id) for r in local_descriptors.search(F.col("id") >= 100, df).collect()}
     assert got == {(100, 3), (101, 4), (102, 5)}
+    every = [r for r in local_descriptors.matched(F.col("id") >= 100, df).collect() if r.id is not None]
+    assert len(every) == len(rows) - 2
+    by = {r.id: r for r in every}
+    assert [(by[i].class_id, by[i].n_matches) for i in (6, 103, 104, 202, 203, 200, 201)] == [(6, 2), (6, 1), (6, 1), (202, 1), (202, 1), (200, 0), (201, 0)]
+    assert [m.class_id for m in by[3].matches] == [100] and by[3].n_matches == 1 and by[100].n_matches == 0
+    # repeated rows are equal images
+    twice = local_descriptors.matched(F.col("id") == 103, df.union(df.where("id = 103"))).where("id = 103").collect()
+    assert len(twice) == 2 and {r.n_matches for r in twice} == {1}
+    assert local_descriptors.matched(F.col("id") >= 100, df.limit(0)).count() == 0
+
+
+def test_images_against_brute_force(spark):
+    """All pairs compared whole, on textures with edits; recall by edit."""
+    rng = np.random.default_rng(9)
+    edits = {
+        "crop to 56 %": lambda x: x[x.shape[0] // 4 :, : x.shape[1] * 3 // 4],
+        "crop to 36 %": lambda x: x[x.shape[0] // 5 : x.shape[0] * 4 // 5, x.shape[1] // 5 : x.shape[1] * 4 // 5],
+        "turn": lambda x: np.rot90(x),
+        "larger": lambda x: local_descriptors.scaled(x, 1.4),
+        "smaller": lambda x: local_descriptors.scaled(x, 0.8),
+        "brightness": lambda x: x * 0.7 + 30,
+        "noise": lambda x: x + rng.normal(0, 4, x.shape),
+    }
+    base = [texture(rng) for _ in range(12)]
+    images = {i: grey(x) for i, x in enumerate(base)} | {100 * (k + 1) + i: grey(e(x)) for k, e in enumerate(edits.values()) for i, x in enumerate(base)}
+    points = {i: local_descriptors.describe(x) for i, x in images.items()}
+    asked = [i for i in images if i < 100]
+    want = {(q, i) for q in asked for i in images if i != q and local_descriptors.inliers(points[q], points[i]) >= local_descriptors.LEAST}
+    got = {(r.query_id, r.match_id) for r in local_descriptors.search(F.col("id") < 100, spark.createDataFrame(image_rows(images), IMAGES)).collect()}
+    assert got <= want and len(got) >= 0.9 * len(want)
+    assert all(q == i % 100 for q, i in got)  # no false pair
+    for k, name in enumerate(edits):
+        assert sum((i, 100 * (k + 1) + i) in got for i in range(12)) >= 11, name
+
+
+def test_drawn_images(spark):
+    df = spark.createDataFrame([(1, [0.5, -1.0, 1.0, 0.25, 0.1]), (2, None), (3, []), (4, [None, 1.0]), (5, [0.0] * 4)], "vec_id long, embedding array<double>")
+    got = {r.id: r for r in local_descriptors.drawn(df).collect()}
+    assert (got[1].width, got[2].width, got[3].width, got[4].width, got[5].width) == (24, 0, 0, 16, 16)
+    assert len(got[1].pixels) == 576 and got[5].pixels == bytes(256)
 
 
 def test_registered():
