@@ -24,6 +24,8 @@ from .shared import NOT_SPACE, Scratch, only
 
 #: Blocks of a source: one for every so many documents, and at most so many.
 BLOCK_DOCS, MOST_BLOCKS = 256, 65_536
+#: Groups of sources that a node of the tree deals its half among.
+GROUPS = 256
 
 
 def sized(docs: DataFrame) -> DataFrame:
@@ -31,27 +33,48 @@ def sized(docs: DataFrame) -> DataFrame:
     return only(docs, "doc_id", "source", "text").select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(NOT_SPACE)), F.lit(0)).cast("long").alias("size"), F.xxhash64("doc_id", "text").alias("key"))
 
 
-def targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3) -> DataFrame:
+def running(df: DataFrame, order: list, sums: dict[str, F.Column], scratch: Scratch) -> DataFrame:
+    """df with `rank` (from 0) and running sums, this row's included, in a total order over all rows.
+
+    Rows are dealt out by ranges of the order; what a range adds is known from one row for each range, so no
+    task and not the driver holds more than a range's rows or a row for each range.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = scratch.keep(df.repartitionByRange(parts, *order).withColumn("__part", F.spark_partition_id()))
+    totals = placed.groupBy("__part").agg(F.count("*").alias("rank"), *[F.sum(c).alias(n) for n, c in sums.items()]).collect()  # a row for each range
+    before, at = [], {n: 0 for n in ("rank", *sums)}
+    for r in sorted(totals, key=lambda r: r["__part"]):
+        before.append((r["__part"], *at.values()))
+        at = {n: v + r[n] for n, v in at.items()}
+    kinds = ", ".join(f"__{n} {'double' if any(isinstance(r[n], float) for r in totals) else 'long'}" for n in at)
+    offsets = df.sparkSession.createDataFrame(before, f"__part int, {kinds}")
+    w = Window.partitionBy("__part").orderBy(*order)
+    here = {n: F.col(f"__{n}") + F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, 0)) for n, c in sums.items()}
+    return placed.join(offsets, "__part").select(*df.columns, (F.col("__rank") + F.row_number().over(w) - 1).alias("rank"), *[c.alias(n) for n, c in here.items()])
+
+
+def targets(sizes: DataFrame, scratch: Scratch, weights: tuple[int, ...] = (1, 2, 3), most: int = 3) -> DataFrame:
     """(source, source_size, n_docs, weight, target) of sizes(source, size).
 
     Water filling in closed form: sources are capped in order of most * size / weight, least first.
     With c sources capped, the others share what is left at one rate per weight; the right c is the
     first at which no other source exceeds its cap.
     """
-    per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs"))
-    alone = Window.partitionBy(F.lit(0))
-    order = alone.orderBy(F.col("source").asc_nulls_last())
+    per = scratch.keep(sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs")))
     choices = F.array(*map(F.lit, weights))
-    got = per.withColumn("weight", F.get(choices, ((F.row_number().over(order) - 1) % len(weights)).cast("int")).cast("double")).withColumn("total", F.sum("source_size").over(alone))
-    by = alone.orderBy((most * F.col("source_size") / F.col("weight")), F.col("source").asc_nulls_last())
-    before = by.rowsBetween(Window.unboundedPreceding, -1)
-    rate = (F.col("total") - F.coalesce(F.sum(most * F.col("source_size")).over(before), F.lit(0))) / F.sum("weight").over(by.rowsBetween(0, Window.unboundedFollowing))
-    # the first source in this order whose cap is not reached sets the rate of all after it
-    placed = got.withColumn("r", F.row_number().over(by)).withColumn("rate", rate).withColumn("full", F.col("rate") * F.col("weight") >= most * F.col("source_size"))
-    free = placed.withColumn("first_free", F.min(F.when(~F.col("full"), F.col("r"))).over(alone))
-    at = free.withColumn("level", F.max(F.when(F.col("r") == F.col("first_free"), F.col("rate"))).over(alone))
-    cap = (most * F.col("source_size")).cast("double")
-    return at.select("source", "source_size", "n_docs", "weight", F.when(F.col("first_free").isNull() | (F.col("r") < F.col("first_free")), cap).otherwise(F.least(cap, F.col("level") * F.col("weight"))).alias("target"))
+    ordered = running(per, [F.col("source").asc_nulls_last()], {}, scratch)
+    weighed = ordered.select("source", "source_size", "n_docs", F.get(choices, (F.col("rank") % len(weights)).cast("int")).cast("long").alias("weight"))
+    cap = most * F.col("source_size")
+    line = scratch.keep(running(weighed, [cap / F.col("weight"), F.col("source").asc_nulls_last()], {"caps": cap, "weights": F.col("weight")}, scratch))
+    total = line.agg(F.sum("source_size").alias("size"), F.sum("weight").alias("weight")).first()
+    # the rate if all sources before this one are capped; the first source whose cap is not reached sets the rate
+    rate = (F.lit(total["size"]) - F.col("caps") + cap) / (F.lit(total["weight"]) - F.col("weights") + F.col("weight"))
+    free = line.select("rank", rate.alias("rate")).where(rate * F.col("weight") < cap)
+    level = free.agg(F.min_by("rate", "rank").alias("rate"), F.min("rank").alias("rank")).first()
+    if level["rank"] is None:
+        return line.select("source", "source_size", "n_docs", "weight", cap.cast("double").alias("target"))
+    shared = F.least(cap.cast("double"), F.lit(level["rate"]) * F.col("weight"))
+    return line.select("source", "source_size", "n_docs", "weight", F.when(F.col("rank") < level["rank"], cap.cast("double")).otherwise(shared).alias("target"))
 
 
 def unit(*cols) -> F.Column:
@@ -68,56 +91,79 @@ def ln_factorial(n) -> F.Column:
     return series - F.ln(product)
 
 
+def let(value, body) -> F.Column:
+    """body(value), with value in the plan once."""
+    return F.transform(F.array(value), body)[0]
+
+
 def hypergeometric(total, good, drawn, u) -> F.Column:
     """The number of good ones among `drawn` of `total`, by inversion at u.
 
     Sums the law from eight deviations below its mean to eight above; the mass outside is below 1e-13.
     """
-    least, greatest = F.greatest(F.lit(0), drawn + good - total), F.least(good, drawn)
-    t = F.greatest(total, F.lit(2)).cast("double")
-    mean = drawn * good / F.greatest(total, F.lit(1)).cast("double")
-    spread = F.sqrt(F.greatest(F.lit(0.0), mean * (1 - good / t) * (total - drawn) / (t - 1)))
-    low = F.greatest(least, F.floor(mean - 8 * spread - 2).cast("long"))
-    high = F.least(greatest, F.ceil(mean + 8 * spread + 2).cast("long"))
-    ln = ln_factorial
-    start = ln(good) - ln(low) - ln(good - low) + ln(total - good) - ln(drawn - low) - ln(total - good - drawn + low) - ln(total) + ln(drawn) + ln(total - drawn)
-    state = F.struct(F.exp(start).alias("p"), F.lit(0.0).alias("sum"), low.alias("x"))
 
-    def step(s, k):
-        over = s["sum"] + s["p"] > u
-        ratio = (good - k).cast("double") * (drawn - k) / ((k + 1) * (total - good - drawn + k + 1).cast("double"))
-        moved = F.struct((s["p"] * ratio).alias("p"), (s["sum"] + s["p"]).alias("sum"), (k + 1).alias("x"))
-        return F.when(over | (s["x"] < k), s).otherwise(moved)
+    def spread(a):
+        t = F.greatest(a["total"], F.lit(2)).cast("double")
+        mean = a["drawn"] * a["good"] / F.greatest(a["total"], F.lit(1)).cast("double")
+        return F.struct(a.alias("a"), mean.alias("mean"), F.sqrt(F.greatest(F.lit(0.0), mean * (1 - a["good"] / t) * (a["total"] - a["drawn"]) / (t - 1))).alias("spread"))
+
+    def bounds(s):
+        a = s["a"]
+        low = F.greatest(F.lit(0), a["drawn"] + a["good"] - a["total"], F.floor(s["mean"] - 8 * s["spread"] - 2).cast("long"))
+        high = F.least(a["good"], a["drawn"], F.ceil(s["mean"] + 8 * s["spread"] + 2).cast("long"))
+        return F.struct(a.alias("a"), low.alias("low"), high.alias("high"))
 
-    picked = F.aggregate(F.sequence(low, F.greatest(low, high - 1)), state, step)["x"]
-    return F.when(low >= high, F.least(F.greatest(low, least), greatest)).otherwise(F.least(picked, greatest)).cast("long")
+    def first(b):
+        a, low = b["a"], b["low"]
+        terms = [(1, a["good"]), (-1, low), (-1, a["good"] - low), (1, a["total"] - a["good"]), (-1, a["drawn"] - low), (-1, a["total"] - a["good"] - a["drawn"] + low), (-1, a["total"]), (1, a["drawn"]), (1, a["total"] - a["drawn"])]
+        signs, values = F.array(*[F.lit(float(k)) for k, _ in terms]), F.array(*[v.cast("long") for _, v in terms])
+        return F.struct(a.alias("a"), low.alias("low"), b["high"].alias("high"), F.exp(F.aggregate(F.zip_with(signs, values, lambda k, n: k * ln_factorial(n)), F.lit(0.0), lambda x, y: x + y)).alias("p"))
 
+    def picked(c):
+        a, low, high = c["a"], c["low"], c["high"]
 
-def split_one(seed: int, width: int):
-    """The fold that gives the left half its part of one source after the other."""
+        def step(s, k):
+            over = s["sum"] + s["p"] > a["u"]
+            ratio = (a["good"] - k).cast("double") * (a["drawn"] - k) / ((k + 1) * (a["total"] - a["good"] - a["drawn"] + k + 1).cast("double"))
+            moved = F.struct((s["p"] * ratio).alias("p"), (s["sum"] + s["p"]).alias("sum"), (k + 1).alias("x"))
+            return F.when(over | (s["x"] < k), s).otherwise(moved)
+
+        state = F.struct(c["p"].alias("p"), F.lit(0.0).alias("sum"), low.alias("x"))
+        found = F.aggregate(F.sequence(low, F.greatest(low, high - 1)), state, step)["x"]
+        return F.when(low >= high, high).otherwise(F.least(found, high)).cast("long")
+
+    given = F.struct(total.alias("total"), good.alias("good"), drawn.alias("drawn"), u.alias("u"))
+    return let(given, lambda a: let(spread(a), lambda s: let(bounds(s), lambda b: let(first(b), picked))))
+
+
+def dealt(parts: str, name: str, total, open_, seed: int, width: int) -> F.Column:
+    """For each of the array `parts` of (..., name, n) how many of its n go to the left: the multivariate law, one part after the other."""
 
     def fold(s, part):
-        x = hypergeometric(s["rest"], part["n"], s["open"], unit(F.lit(seed), F.col("node"), F.lit(width), part["source"]))
+        x = hypergeometric(s["rest"], part["n"], s["open"], unit(F.lit(seed), F.col("node"), F.lit(width), part[name]))
         return F.struct((s["rest"] - part["n"]).alias("rest"), (s["open"] - x).alias("open"), F.concat(s["left"], F.array(x)).alias("left"))
 
-    return fold
+    return F.aggregate(parts, F.struct(total.alias("rest"), open_.alias("open"), F.array().cast("array<long>").alias("left")), fold)["left"]
 
 
 def split_tree(counts: DataFrame, shards: int, seed: int, scratch: Scratch) -> DataFrame:
     """(source, shard, quota, first): exact parts of counts(source, n) for `shards` (a power of two) equal shards.
 
-    One level of the tree for each halving. A node's sources are split one after the other: what the
-    sources before took is carried in a fold over the node's sources.
+    One level of the tree for each halving. A node's left half is first dealt among `GROUPS` groups of
+    sources, then each group's part among its sources, so that a row holds a group's sources at most: parts of
+    parts have the same law as parts of the whole.
     """
-    level = counts.select(F.lit(0).alias("node"), "source", F.col("n").cast("long").alias("n"))
+    level = counts.select(F.lit(0).alias("node"), F.pmod(F.xxhash64("source"), F.lit(GROUPS)).cast("int").alias("group"), "source", F.col("n").cast("long").alias("n"))
     width = shards
     while width > 1:
-        node = level.groupBy("node").agg(F.sort_array(F.collect_list(F.struct(F.col("source").isNull().alias("last"), "source", "n"))).alias("parts"), F.sum("n").alias("total"))
-        start = F.struct(F.col("total").alias("rest"), F.shiftright(F.col("total") + F.pmod(F.col("node"), F.lit(2)), 1).alias("open"), F.array().cast("array<long>").alias("left"))
-
-        cut = node.withColumn("left", F.aggregate("parts", start, split_one(seed, width))["left"]).select("node", F.inline(F.arrays_zip("parts", "left")))
-        halves = cut.select(F.inline(F.array(F.struct((F.col("node") * 2).alias("node"), F.col("parts.source").alias("source"), F.col("left").alias("n")), F.struct((F.col("node") * 2 + 1).alias("node"), F.col("parts.source").alias("source"), (F.col("parts.n") - F.col("left")).alias("n")))))
-        level = scratch.keep(halves)
+        group = scratch.keep(level.groupBy("node", "group").agg(F.sort_array(F.collect_list(F.struct(F.col("source").isNull().alias("last"), "source", "n"))).alias("parts"), F.sum("n").alias("total")))
+        # what shuffles is written before the laws are worked out, so that their long expressions are planned once
+        node = scratch.keep(group.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("group", F.col("total").alias("n")))).alias("groups"), F.sum("total").alias("total")))
+        half = F.shiftright(F.col("total") + F.pmod(F.col("node"), F.lit(2)), 1)
+        opened = scratch.keep(node.select("node", "groups", dealt("groups", "group", F.col("total"), half, seed, width).alias("left")).select("node", F.inline(F.arrays_zip("groups", "left"))).select("node", F.col("groups.group").alias("group"), F.col("left").alias("open")))
+        cut = scratch.keep(group.join(opened, ["node", "group"])).select("node", "group", "parts", dealt("parts", "source", F.col("total"), F.col("open"), seed, width).alias("left")).select("node", "group", F.inline(F.arrays_zip("parts", "left")))
+        side = lambda k, n: F.struct((F.col("node") * 2 + k).alias("node"), F.col("group").alias("group"), F.col("parts.source").alias("source"), n.alias("n"))
+        level = scratch.keep(cut.select(F.inline(F.array(side(0, F.col("left")), side(1, F.col("parts.n") - F.col("left"))))))
         width //= 2
     w = Window.partitionBy("source").orderBy("node")
     return level.select("source", F.col("node").alias("shard"), F.col("n").alias("quota"), (F.sum("n").over(w) - F.col("n")).alias("first"))
@@ -132,7 +178,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, sh
     """
     scratch = Scratch(docs.sparkSession, "op4")
     sizes = scratch.keep(sized(docs))
-    wanted = scratch.keep(targets(sizes, weights, most))
+    wanted = scratch.keep(targets(sizes, scratch, weights, most))
     plan = wanted.withColumn("whole", F.least(F.lit(most), F.floor(F.col("target") / F.greatest("source_size", F.lit(1)) + 1e-12)).cast("int"))
     plan = plan.withColumn("part", F.greatest(F.lit(0.0), F.col("target") - F.col("whole") * F.col("source_size"))).withColumn("blocks", F.least(F.lit(MOST_BLOCKS), F.ceil(F.col("n_docs") / BLOCK_DOCS)).cast("long"))
     plan = scratch.keep(plan)

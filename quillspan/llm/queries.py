@@ -36,7 +36,8 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixed(table(spark, sf_dir, "documents")).drop("draws")
+    """`draws` tells the pass, shard, words and place of each time that the document is taken."""
+    return mixed(table(spark, sf_dir, "documents"))
 
 
 def mixed(docs: DataFrame) -> DataFrame:

@@ -144,6 +144,42 @@ def test_split_tree_is_exact(spark):
     assert per == {"a": 1000, "b": 500, None: 7, "c": 1} and max(shard.values()) - min(shard.values()) <= 1
 
 
+def test_split_tree_against_drawing_blocks(spark):
+    """Over many seeds, a shard's part of a source has the mean and variance of blocks drawn without replacement."""
+    n = {"a": 60, "b": 30, "c": 10}
+    counts = spark.createDataFrame(list(n.items()), "source string, n long")
+    got = collections.defaultdict(list)
+    for seed in range(4):
+        for r in mixing.split_tree(counts, 4, seed, shared.Scratch(spark, "t")).collect():
+            got[r.source].append(r.quota)
+    rng = random.Random(1)
+    want = collections.defaultdict(list)
+    for _ in range(400):
+        blocks = [s for s, k in n.items() for _ in range(k)]
+        rng.shuffle(blocks)
+        for i in range(4):
+            part = collections.Counter(blocks[i * 25 : (i + 1) * 25])
+            for s in n:
+                want[s].append(part[s])
+    for s, k in n.items():
+        assert np.mean(got[s]) == k / 4
+        assert 0.3 * np.var(want[s]) < np.var(got[s]) < 3 * np.var(want[s])
+
+
+def test_mixing_of_many_sources(spark):
+    """More sources than groups; every block has one shard, and shards are alike in size."""
+    rows = [(i, f"host{i % 700}", "w " * (i % 5 + 1)) for i in range(2100)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, source string, text string")).collect()
+    shards = collections.Counter()
+    per = collections.defaultdict(int)
+    for r in got:
+        for d in r.draws:
+            shards[d["shard"]] += 1
+            per[r.source] += d["words"]
+    assert all(abs(per[r.source] - r.target) <= 1 for r in got)
+    assert len(shards) == 16 and max(shards.values()) < 1.5 * min(shards.values())
+
+
 def test_hypergeometric_law(spark):
     n = 20_000
     got = spark.range(n).select(mixing.hypergeometric(F.lit(50).cast("long"), F.lit(20).cast("long"), F.lit(25).cast("long"), (F.col("id") + 0.5) / n).alias("x")).agg(F.avg("x"), F.variance("x")).first()
