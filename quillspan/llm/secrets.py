@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import only
+from .shared import mapped, only
 
 #: Fixed by the contract: kinds in their order, patterns, least lengths.
 KINDS = ("assign", "access", "hex")
@@ -440,7 +440,7 @@ def mask_docs(docs: DataFrame) -> DataFrame:
             columns[place] = pa.array([masked(t.as_py()) for t in columns[place]], pa.string())
             yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return mapped(docs, run)
 
 
 def joined_column(spans) -> F.Column:

@@ -102,6 +102,14 @@ def only(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(f"`{n}`") for n in names])
 
 
+def mapped(df: DataFrame, run, more: str = "", inputs: int | None = None) -> DataFrame:
+    """df.mapInArrow(run) for columns of any name, which run sees as c0, c1, ...; it yields the first `inputs` of them (all) and `more` (DDL)."""
+    n = len(df.columns) if inputs is None else inputs
+    kinds = ", ".join(f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(df.schema.fields[:n]))
+    out = df.toDF(*[f"c{i}" for i in range(len(df.columns))]).mapInArrow(run, kinds + (f", {more}" if more else ""))
+    return out.toDF(*df.columns[:n], *out.columns[n:])
+
+
 def row_key() -> F.Column:
     """Tells rows of (doc_id, text) apart, null-safe; repeated rows have the same."""
     return F.xxhash64("doc_id", "text")

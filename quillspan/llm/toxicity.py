@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Scratch, only
+from .shared import Scratch, mapped, only
 
 MOST_ROWS, CURVE_SHARE = 20_000, 0.3
 ORDER, DISCOUNT, BUCKETS, CUT = 5, 0.75, 1 << 20, 8.0
@@ -262,4 +262,4 @@ def clean_docs(docs: DataFrame, model: Model, limit: float = 0.3) -> DataFrame:
         for batch in batches:
             yield batch.filter(pa.array([m.score(t.as_py()) < limit for t in batch.column(place)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return mapped(docs, run)

@@ -473,6 +473,40 @@ def test_pii(spark, docs, empty):
     assert pii.replace_docs(docs).count() == docs.count() and pii.replace_docs(empty).count() == 0
 
 
+def test_pii_finds_and_leaves():
+    kinds = lambda t: [k for _, _, k, _ in pii.find(t)]
+    for text in ("on 2024-05-06 and 06.05.2024 or 5/6/2024", "10 20 30 40", "order 1234 5678 12", "version 1.2.3", "at 12:30:45", "Dear Sir or Madam"):
+        assert kinds(text) == [], text
+    for text, want in (("call 555-0100 now", ["phone"]), ("+442071838750", ["phone"]), ("(020) 7183 8750", ["phone"]), ("at fe80::1ff:fe23:4567:890a.", ["ipv6"]), ("José García", ["name"] * 2), ("Priya Sharma", ["name"] * 2), ("Mr. O'Brien", ["name"]), ("Contact: 王小明", ["name"]), ("MR. SMITH", []), ("Mr. SMITH", ["name"])):
+        assert kinds(text) == want, text
+    assert pii.replaced("+442071838750").startswith("+44") and pii.replaced("+1 415 555 0100").startswith("+1 ")
+    assert pii.replaced("+49 171 2345678").replace(" ", "") == pii.replaced("+491712345678")
+    assert pii.replaced("Mr. Smith, Mr. SMITH") == (lambda x: f"Mr. {x}, Mr. {x.upper()}")(pii.surrogate("name", "Smith"))
+
+
+def test_pii_against_originals(spark):
+    """No surrogate of a family name, phone or address is an original anywhere; rows without an id are told their rounds."""
+    first = pii.surrogate("name", "Zedaq")
+    rows = [(None, "Mr. Zedaq and"), (1, f"Mr. {first} came"), (None, f"Mr. {pii.surrogate('name', first)} left"), (None, None), (2, "Mr. Zedaq again")]
+    docs = spark.createDataFrame([(*r, 1, "x", 2) for r in rows], "doc_id long, text string, n_entities int, entity_kinds string, `a.b` int")
+    out = pii.replace_docs(docs)
+    assert sorted(out.columns) == sorted(docs.columns)
+    got = out.collect()
+    names = {r.text.split()[1] for r in got if r.text}
+    assert len(names) == 3 and not names & {"Zedaq", first, pii.surrogate("name", first)}
+    assert len({r.text.split()[1] for r in got if r.text and r.text.split()[-1] in ("and", "again")}) == 1
+    assert {r.n_entities for r in got} == {0, 1}
+
+
+def test_pii_surrogates_are_permutations():
+    """Brute force over whole forms: every value has its own surrogate of the same form."""
+    for values in ([a + b + c for a in "BCDF" for b in "aeiou" for c in "bcdfgh"], ["Ab" + a + b for a in "aeiou" for b in "bcdfghjklmnpqrstvwxyz"], ["王" + chr(0x4E00 + i) for i in range(500)], ["Иван" + a + b for a in "аеиоу" for b in "бвгд"]):
+        new = [pii.surrogate("name", v) for v in values]
+        assert len(set(new)) == len(values) and all(len(n) == len(v) and n[0].isupper() == v[0].isupper() for n, v in zip(new, values, strict=True))
+    for kind, values in (("phone", [f"{i:05d}" for i in range(3000)]), ("ssn", [f"123{i:06d}" for i in range(1, 3000, 7)]), ("ip", [f"10.0.{i}.{j}" for i in range(30) for j in range(30)])):
+        assert len({pii.surrogate(kind, v) for v in values}) == len(values)
+
+
 def grey(x):
     return np.ascontiguousarray(np.clip(np.rint(x), 0, 255).astype(np.uint8))
 
