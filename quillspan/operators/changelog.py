@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..errors import QueryError
@@ -63,7 +63,7 @@ def build_matches(column: Column, build: str) -> Column:
 def latest_batch(df: DataFrame, push: str) -> DataFrame:
     """All rows with the greatest push; the maximum is aggregated on its own, without gathering the rows."""
     most = df.agg(F.max(push).alias("__most"))
-    return df.join(F.broadcast(most), F.col(push) == F.col("__most")).drop("__most")  # one row
+    return df.join(most, F.col(push) == F.col("__most")).drop("__most")  # one row
 
 
 def page(df: DataFrame, order: list[str], number: int, limit: int) -> DataFrame:
@@ -87,10 +87,39 @@ def repeated_ids(captured: DataFrame, id_column: str) -> DataFrame:
     return captured.groupBy(id_column).agg(F.count("*").alias("n")).where("n > 1")
 
 
-def page_gaps(pages: DataFrame, number: str) -> DataFrame:
-    """(page, previous) where page numbers do not follow one another. Pages of one capture are few."""
-    w = Window.orderBy(number)
-    return pages.select(F.col(number).alias("page"), F.lag(number).over(w).alias("previous")).where("page <> previous + 1")
+def page_gaps(pages: DataFrame, number: str, stretch: int = 65_536) -> DataFrame:
+    """(page, previous) where page numbers do not follow one another.
+
+    Looked for within stretches of numbers; only the last number of each stretch is met in one order.
+    """
+    placed = pages.select(F.col(number).alias("page"), F.floor(F.col(number) / stretch).alias("stretch"))
+    ends = placed.groupBy("stretch").agg(F.max("page").alias("end"))
+    before = ends.select("stretch", F.lag("end").over(Window.orderBy("stretch")).alias("before"))  # a row for each stretch
+    within = placed.withColumn("lag", F.lag("page").over(Window.partitionBy("stretch").orderBy("page")))
+    return within.join(before, "stretch").select("page", F.coalesce("lag", "before").alias("previous")).where("page <> previous + 1")
+
+
+def write_index(log: DataFrame, path: str, source: str) -> None:
+    """A copy of a change log for point queries, sorted by table, record and push, with what its source was (`source`: any text
+    that changes with the source, such as its length and time), so that a stale copy is noticed."""
+    keys = ["table_hash", "record_id", "push_id"]
+    log.withColumn("__source", F.lit(source)).repartitionByRange(*keys).sortWithinPartitions(*keys).write.mode("overwrite").parquet(path)
+
+
+def point(spark: SparkSession, path: str, source: str, table_hash: int, record_id: int | None = None, push_id: int | None = None) -> DataFrame:
+    """Rows of one table's record or push from an index; the scan skips what the sorted files' statistics rule out.
+
+    A stale index is refused: its rows are not those of the source.
+    """
+    index = spark.read.parquet(path)
+    found = index.select("__source").limit(1).first()
+    if found is not None and found["__source"] != source:
+        raise QueryError("hotfix_index_stale", f"{path} is of {found['__source']}, not of {source}")
+    out = index.where(F.col("table_hash") == table_hash)
+    for name, value in (("record_id", record_id), ("push_id", push_id)):
+        if value is not None:
+            out = out.where(F.col(name) == value)
+    return out.drop("__source")
 
 
 def unknown_status(df: DataFrame, status: str) -> DataFrame:

@@ -14,18 +14,6 @@ def first_element(x: Column, is_array: bool) -> Column:
     return F.try_element_at(x, F.lit(1)) if is_array else x
 
 
-def not_negative(x: Column) -> Column:
-    return F.greatest(x, F.lit(0))
-
-
-def zero_is_null(x: Column) -> Column:
-    return F.nullif(x, F.lit(0))
-
-
-def empty_is_null(x: Column) -> Column:
-    return F.nullif(x, F.lit(""))
-
-
 def positive(x: Column) -> Column:
     """The positive elements of an array."""
     return F.filter(x, lambda v: v > 0)

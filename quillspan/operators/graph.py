@@ -2,20 +2,10 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def _checkpointed(df: DataFrame) -> DataFrame:
-    """Cut lineage in the shared checkpoint folder; where none is set (one machine, tests), in a folder of our own."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(shared or "file://" + tempfile.mkdtemp(prefix="quillspan-", dir=os.environ.get("TMPDIR")))
-    return df.checkpoint()
+from ..storage import written
 
 
 def typed_edges(parts: list[DataFrame]) -> DataFrame:
@@ -35,15 +25,16 @@ def text_edges(docs: DataFrame, id_column: str, text: Column, pattern: str, grou
 def closure(edges: DataFrame, seeds: DataFrame, max_depth: int) -> tuple[DataFrame, int]:
     """((node, depth) with the least depth of each node reached, number of levels processed).
 
-    A level is processed even if it finds nothing new; at most max_depth are. Each level joins only
-    the nodes found last, and drops those known already.
+    A level is processed even if it finds nothing new; at most max_depth are. Edges are worked out once and
+    written; each level joins only the nodes found last, and drops those known already.
     """
-    known = _checkpointed(seeds.select("node").distinct().withColumn("depth", F.lit(0)))
+    edges = written(edges.select("src", "dst"))
+    known = written(seeds.select("node").distinct().withColumn("depth", F.lit(0)))
     frontier, levels = known, 0
-    while levels < max_depth and frontier.limit(1).count():
+    while levels < max_depth and not frontier.isEmpty():
         levels += 1
         new = edges.join(frontier.select(F.col("node").alias("src")), "src", "left_semi").select(F.col("dst").alias("node")).distinct()
-        frontier = _checkpointed(new.join(known, "node", "left_anti").withColumn("depth", F.lit(levels)))
+        frontier = written(new.join(known, "node", "left_anti").withColumn("depth", F.lit(levels)))
         known = known.union(frontier)
     return known, levels
 

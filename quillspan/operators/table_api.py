@@ -14,20 +14,12 @@ from ..functions import contains_text
 from ..sql import stream
 
 
-def literal(text: str):
-    """A filter's value: integer, boolean, else text."""
-    try:
-        return int(text)
-    except ValueError:
-        return {"true": True, "false": False}.get(text.lower(), text)
-
-
 def parsed_filter(df: DataFrame, text: str) -> Column:
-    """`field=value` as a condition that the scan can take."""
+    """`field=value` as a condition that the scan can take: the value is read as the column's type; one that is none matches nothing."""
     name, sign, value = text.partition("=")
     if not sign or name.strip() not in df.columns:
         raise QueryError("sql_invalid_input", text)
-    return F.col(f"`{name.strip()}`") == F.lit(literal(value.strip()))
+    return F.col(f"`{name.strip()}`") == F.lit(value.strip()).try_cast(df.schema[name.strip()].dataType)
 
 
 def scan(df: DataFrame, fields: Sequence[str] = (), limit: int | None = None) -> DataFrame:

@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from functools import reduce
+import struct
+from collections.abc import Callable, Iterator
+from datetime import datetime
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import functions as fn
 from ..catalog import Catalog
 from ..operators import changelog, domain, files, graph, table_api, tree
+from ..sources import dbd, payload
 from ..sql import explain, run_sql
+from ..storage import new_folder
 from . import sql_core
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
@@ -106,7 +110,7 @@ def copy_table_expand(c):
 @query("part", oracle="SELECT p_partkey, arg_min(tag, ord) AS tag FROM part JOIN (VALUES (0, 1, 10, 'low'), (1, 5, 25, 'mid'), (2, 20, 50, 'high')) AS r(ord, lo, hi, tag) ON p_size BETWEEN lo AND hi GROUP BY p_partkey")
 def schema_range_pick(c):
     ranges = c.spark.createDataFrame([(0, 1, 10, "low"), (1, 5, 25, "mid"), (2, 20, 50, "high")], "ord int, lo int, hi int, tag string")
-    return c.table("part").join(F.broadcast(ranges), F.col("p_size").between(F.col("lo"), F.col("hi"))).groupBy("p_partkey").agg(F.min_by("tag", "ord").alias("tag"))
+    return c.table("part").join(ranges, F.col("p_size").between(F.col("lo"), F.col("hi"))).groupBy("p_partkey").agg(F.min_by("tag", "ord").alias("tag"))
 
 
 @query("orders", oracle="WITH g AS (SELECT o_custkey, o_orderkey, o_orderkey - coalesce(lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey), 0) AS gap FROM orders) SELECT o_custkey, o_orderkey, CAST(sum(gap) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS BIGINT) AS decoded FROM g")
@@ -153,7 +157,7 @@ _EDGES = "SELECT p_partkey AS src, (p_partkey * 7 + 13) % (SELECT count(*) FROM
 def part_edges(c: Catalog) -> DataFrame:
     part = c.table("part")
     n = part.agg(F.count("*").alias("n"))
-    first = part.join(F.broadcast(n)).select(F.col("p_partkey").alias("src"), ((F.col("p_partkey") * 7 + 13) % F.col("n")).alias("dst"))  # one row
+    first = part.crossJoin(n).select(F.col("p_partkey").alias("src"), ((F.col("p_partkey") * 7 + 13) % F.col("n")).alias("dst"))  # one row
     return graph.typed_edges([first, part.where("p_size % 5 = 0").select(F.col("p_partkey").alias("src"), F.expr("p_partkey div 2").alias("dst"))])
 
 
@@ -256,9 +260,9 @@ def explode_rank_collect(c):
     return domain.gathered(top, "vec_id", F.col("pos"), [F.col("n")], "top")
 
 
-@query("orders", "lineitem", oracle="SELECT o_custkey, string_agg(CAST((l_linenumber + 1) * 100 + CAST(l_quantity AS BIGINT) AS VARCHAR), ',' ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS codes FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_custkey % 10 = 1 GROUP BY o_custkey")
+@query("orders", "lineitem", oracle="SELECT o_custkey, string_agg(CAST((l_linenumber + 1) * 100 + CAST(l_quantity AS BIGINT) AS VARCHAR), ',' ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS codes FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_custkey")
 def display_group(c):
-    j = c.table("orders").where("o_custkey % 10 = 1").join(c.table("lineitem"), F.col("l_orderkey") == F.col("o_orderkey"))
+    j = c.table("orders").join(c.table("lineitem"), F.col("l_orderkey") == F.col("o_orderkey"))
     return domain.gathered(j, "o_custkey", domain.variation(F.col("l_linenumber"), F.col("l_quantity").cast("bigint")), [F.col(x) for x in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")], "codes")
 
 
@@ -308,9 +312,9 @@ def file_extension(c):
     return files.by_extension(_paths(c), ".html").orderBy("entry")
 
 
-@query("pages", "documents", oracle="SELECT page_id AS file_data_id FROM pages WHERE page_id IN (SELECT doc_id FROM documents WHERE doc_id % 2 = 0)")
+@query("pages", "documents", oracle="SELECT page_id AS file_data_id FROM pages WHERE page_id IN (SELECT doc_id * 2 FROM documents)")
 def file_exists(c):
-    return files.present(_paths(c), c.table("documents").where("doc_id % 2 = 0").select(F.col("doc_id").alias("file_data_id"))).select("file_data_id")
+    return files.present(_paths(c), c.table("documents").select((F.col("doc_id") * 2).alias("file_data_id"))).select("file_data_id")
 
 
 @query("part", "supplier", "customer", oracle="WITH r AS (SELECT p_partkey % 50 AS id, p_partkey % 20 AS ckey, p_partkey AS ord FROM part WHERE (p_size & 2) <> 0 AND (p_size & 128) = 0), f AS (SELECT id, arg_min(ckey, ord) AS ckey FROM r GROUP BY id) SELECT id AS file_data_id, f.ckey, s_suppkey + 100 AS ekey, s_acctbal AS size, c_nationkey AS archive FROM f JOIN supplier ON s_suppkey = f.ckey LEFT JOIN customer ON c_custkey = s_suppkey + 100")
@@ -339,7 +343,7 @@ def log_latest_batch(c):
 
 @query("events", oracle="SELECT event_id AS record_id, user_id AS push_id FROM events WHERE user_id % 3 = 2 ORDER BY user_id, event_id LIMIT 25 OFFSET 50")
 def log_page(c):
-    q = changelog.LogQuery("p", "1.15.7.60002", 1, "enUS", latest=False, start=__import__("datetime").datetime(1970, 1, 1), page=2, limit=25)
+    q = changelog.LogQuery("p", "1.15.7.60002", 1, "enUS", latest=False, start=datetime(1970, 1, 1), page=2, limit=25)
     return changelog.query(_log(c), q).select("record_id", "push_id")
 
 
@@ -348,9 +352,9 @@ def log_dedupe_guard(c):
     return changelog.repeated_ids(c.table("conversations"), "conv_id")
 
 
-@query("orders", oracle="SELECT page, previous FROM (SELECT page, lag(page) OVER (ORDER BY page) AS previous FROM (SELECT DISTINCT o_custkey // 10 AS page FROM orders WHERE o_custkey % 7 = 0)) WHERE page <> previous + 1")
+@query("orders", oracle="SELECT page, previous FROM (SELECT page, lag(page) OVER (ORDER BY page) AS previous FROM (SELECT DISTINCT o_orderkey * 3 // 2 AS page FROM orders)) WHERE page <> previous + 1")
 def log_page_gap(c):
-    return changelog.page_gaps(c.table("orders").where("o_custkey % 7 = 0").select(F.expr("o_custkey div 10").alias("n")).distinct(), "n")
+    return changelog.page_gaps(c.table("orders").select(F.expr("o_orderkey * 3 div 2").alias("n")).distinct(), "n")
 
 
 @query("events", oracle="SELECT event_id % 6 AS status, count(*) AS n FROM events WHERE event_id % 6 NOT IN (1, 2, 3, 4) GROUP BY 1")
@@ -366,6 +370,34 @@ def json_named_positional(c):
     return e.select("event_id", F.get_json_object("props", "$.k").cast("bigint").alias("k"), m["ID"].alias("id_text"), m["Kind"].alias("kind"))
 
 
+@query("events", oracle="SELECT event_id AS record_id, user_id AS push_id FROM events WHERE event_type = 'click' AND event_id % 100 = 7")
+def log_point_index(c):
+    """A copy sorted for point queries, asked for every hundredth record of one table."""
+    path = new_folder(c.spark)
+    log = _log(c).withColumn("table_hash", F.xxhash64("table_name")).withColumn("record_id", F.col("record_id") % 100)
+    changelog.write_index(log, path, "events")
+    table = c.spark.range(1).select(F.xxhash64(F.lit("click"))).first()[0]
+    return changelog.point(c.spark, path, "events", table, record_id=7).select(F.col("unique_id").alias("record_id"), "push_id")
+
+
+_PAYLOAD = dbd.parse("COLUMNS\nint Key\nfloat Price\nstring Status\nint Pair\n\nBUILD 1.0.0.1\nKey<64>\nPrice\nStatus\nPair<u16>[2]\n")
+
+
+@query("orders", oracle="SELECT o_orderkey, o_orderkey AS key, CAST(CAST(o_totalprice AS FLOAT) AS DOUBLE) AS price, o_orderstatus AS status, CAST(o_orderkey % 60000 AS BIGINT) AS first, CAST(o_custkey % 500 AS BIGINT) AS second FROM orders")
+def payload_decode(c):
+    """Binary payloads made of orders, read back by their definition."""
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = zip(*(b.column(n).to_pylist() for n in ("o_orderkey", "o_totalprice", "o_orderstatus", "o_custkey")), strict=True)
+            data = [struct.pack("<qfI", k, p, len(s.encode())) + s.encode() + struct.pack("<HH", k % 60000, u % 500) for k, p, s, u in rows]
+            yield pa.RecordBatch.from_arrays([b.column("o_orderkey"), pa.array(data, pa.binary())], ["o_orderkey", "raw_data"])
+
+    rows = c.table("orders").select("o_orderkey", "o_totalprice", "o_orderstatus", "o_custkey").mapInArrow(made, "o_orderkey long, raw_data binary")
+    v = "values."
+    return payload.decoded(rows, _PAYLOAD, "1.0.0.1").select("o_orderkey", F.col(v + "Key").cast("long").alias("key"), F.col(v + "Price").cast("double").alias("price"), F.col(v + "Status").alias("status"), F.col(v + "Pair")[0].cast("long").alias("first"), F.col(v + "Pair")[1].cast("long").alias("second"))
+
+
 @query("orders")
 def explain_plan(c):
     return explain(c.spark, "SELECT o_orderkey FROM orders WHERE o_orderkey = :k", {"k": 1})
@@ -377,8 +409,3 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     return dict(_oracles)
-
-
-def union_all(frames: list[DataFrame]) -> DataFrame:
-    """By name; columns that an arm lacks are NULL."""
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)

@@ -1,4 +1,5 @@
 import json
+import struct
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,6 +9,7 @@ from quillspan import output
 from quillspan.catalog import Catalog
 from quillspan.errors import QueryError
 from quillspan.operators import changelog, domain, files, graph, table_api, tree
+from quillspan.sources import dbd, payload
 from quillspan.sources.listfile import parse_lines
 from quillspan.sql import collected, explain, inferred, parameter_names, run_sql, stream
 
@@ -137,3 +139,48 @@ def test_registered():
     import __spark_entry__ as e
 
     assert not set(e.oracle_sql()) - set(e.queries())
+
+
+def test_tree_orders_and_cycles(spark):
+    """Places of any size and sign, a node above itself, and more nodes than a recursive query may give."""
+    edges = spark.createDataFrame([(1, 2, 10**15), (1, 3, -5), (1, 4, 7), (2, 5, 0), (5, 1, 0)], "parent long, child long, ord long")
+    got = tree.paths(spark.createDataFrame([(1, 0)], "id long, ord long"), edges).orderBy("path").collect()
+    assert [(r.id, r.depth) for r in got] == [(1, 0), (3, 1), (4, 1), (2, 1), (5, 2)]
+    wide = spark.range(1, 1_100_001).select(F.lit(0).cast("long").alias("parent"), F.col("id").alias("child"), F.col("id").alias("ord"))
+    assert tree.paths(spark.createDataFrame([(0, 0)], "id long, ord long"), wide).count() == 1_100_001
+
+
+def test_filter_by_column_type(spark):
+    df = spark.createDataFrame([(12, "12", True), (13, "x", False)], "n int, name string, flag boolean")
+    count = lambda text: df.where(table_api.parsed_filter(df, text)).count()
+    assert (count("name=12"), count("n=12"), count("n=x"), count("flag=true"), count("name=x")) == (1, 1, 0, 1, 1)
+
+
+def test_page_gaps_across_stretches(spark):
+    numbers = [0, 1, 2, 4, 10, 11, 25, 26, 70]
+    df = spark.createDataFrame([(n,) for n in numbers], "n long")
+    for stretch in (3, 10, 65_536):
+        got = sorted((r.page, r.previous) for r in changelog.page_gaps(df, "n", stretch).collect())
+        assert got == [(4, 2), (10, 4), (25, 11), (70, 26)]
+
+
+def test_point_index(spark, tmp_path):
+    log = spark.createDataFrame([(t, r, p, f"{t}{r}{p}") for t in range(3) for r in range(50) for p in range(4)], "table_hash long, record_id long, push_id long, v string")
+    path = f"{tmp_path}/index"
+    changelog.write_index(log, path, "a file of 10 bytes")
+    found = changelog.point(spark, path, "a file of 10 bytes", 1, record_id=7)
+    assert sorted(r.v for r in found.collect()) == [f"17{p}" for p in range(4)]
+    assert "PushedFilters: [IsNotNull(table_hash), IsNotNull(record_id), EqualTo(table_hash,1), EqualTo(record_id,7)]" in found._jdf.queryExecution().toString()
+    assert changelog.point(spark, path, "a file of 10 bytes", 2, push_id=3).count() == 50
+    with pytest.raises(QueryError):
+        changelog.point(spark, path, "a file of 11 bytes", 1)
+
+
+def test_payloads(spark):
+    version = dbd.parse("COLUMNS\nint A\nstring B\nfloat C\n\nBUILD 1.0.0.1\nA<16>\nB\nC[2]\n")
+    good = struct.pack("<hI3s2f", -2, 3, b"abc", 0.5, 2.0)
+    rows = spark.createDataFrame([(1, good), (2, good[:-1]), (3, None), (4, struct.pack("<hI", 1, 1 << 30))], "id int, raw_data binary")
+    got = {r.id: r for r in payload.decoded(rows, version, "1.0.0.1").collect()}
+    assert tuple(got[1]["values"]) == (-2, "abc", [0.5, 2.0]) and got[1].error is None
+    assert got[2]["values"] is None and got[2].error.startswith("hotfix_schema_mismatch") and got[4].error
+    assert got[3]["values"] is None and got[3].error is None
