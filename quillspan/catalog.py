@@ -6,12 +6,15 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 ROLE = "role"
 ID, RELATION = "id", "relation"
 #: The catalogue's own qualifier; `static.T` is `T`.
 QUALIFIER = "static"
 
+_schemas: dict[tuple[str, str], StructType] = {}
+
 
 def with_roles(df: DataFrame, roles: dict[str, str]) -> DataFrame:
     """df with a role in the metadata of the named columns."""
@@ -36,8 +39,13 @@ class Catalog:
         return self
 
     def add_parquet(self, folder: str, *names: str, roles: dict[str, dict[str, str]] | None = None) -> Catalog:
+        """Snapshots do not change, so the schema of each is read once a session: reading it is a job of its own."""
         for name in names:
-            self.add(name, self.spark.read.parquet(f"{folder}/{name}.parquet"), (roles or {}).get(name))
+            path = f"{folder}/{name}.parquet"
+            key = (self.spark.sparkContext.applicationId, path)
+            if key not in _schemas:
+                _schemas[key] = self.spark.read.parquet(path).schema
+            self.add(name, self.spark.read.schema(_schemas[key]).parquet(path), (roles or {}).get(name))
         return self
 
     def table(self, name: str) -> DataFrame:
