@@ -24,8 +24,8 @@ from .shared import NOT_SPACE, Scratch, only
 
 #: Blocks of a source: one for every so many documents, and at most so many.
 BLOCK_DOCS, MOST_BLOCKS = 256, 65_536
-#: Groups of sources that a node of the tree deals its half among.
-GROUPS = 256
+#: Sources in a group; a node of the tree deals its half among groups, and a group its part among its sources.
+GROUP = 256
 
 
 def sized(docs: DataFrame) -> DataFrame:
@@ -149,19 +149,24 @@ def dealt(parts: str, name: str, total, open_, seed: int, width: int) -> F.Colum
 def split_tree(counts: DataFrame, shards: int, seed: int, scratch: Scratch) -> DataFrame:
     """(source, shard, quota, first): exact parts of counts(source, n) for `shards` (a power of two) equal shards.
 
-    One level of the tree for each halving. A node's left half is first dealt among `GROUPS` groups of
+    One level of the tree for each halving. A node's left half is first dealt among groups of about `GROUP`
     sources, then each group's part among its sources, so that a row holds a group's sources at most: parts of
     parts have the same law as parts of the whole.
     """
-    level = counts.select(F.lit(0).alias("node"), F.pmod(F.xxhash64("source"), F.lit(GROUPS)).cast("int").alias("group"), "source", F.col("n").cast("long").alias("n"))
+    groups = max(1, -(-counts.count() // GROUP))
+    level = counts.select(F.lit(0).alias("node"), F.pmod(F.xxhash64("source"), F.lit(groups)).cast("int").alias("group"), "source", F.col("n").cast("long").alias("n"))
     width = shards
     while width > 1:
-        group = scratch.keep(level.groupBy("node", "group").agg(F.sort_array(F.collect_list(F.struct(F.col("source").isNull().alias("last"), "source", "n"))).alias("parts"), F.sum("n").alias("total")))
-        # what shuffles is written before the laws are worked out, so that their long expressions are planned once
-        node = scratch.keep(group.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("group", F.col("total").alias("n")))).alias("groups"), F.sum("total").alias("total")))
+        group = level.groupBy("node", "group").agg(F.sort_array(F.collect_list(F.struct(F.col("source").isNull().alias("last"), "source", "n"))).alias("parts"), F.sum("n").alias("total"))
         half = F.shiftright(F.col("total") + F.pmod(F.col("node"), F.lit(2)), 1)
-        opened = scratch.keep(node.select("node", "groups", dealt("groups", "group", F.col("total"), half, seed, width).alias("left")).select("node", F.inline(F.arrays_zip("groups", "left"))).select("node", F.col("groups.group").alias("group"), F.col("left").alias("open")))
-        cut = scratch.keep(group.join(opened, ["node", "group"])).select("node", "group", "parts", dealt("parts", "source", F.col("total"), F.col("open"), seed, width).alias("left")).select("node", "group", F.inline(F.arrays_zip("parts", "left")))
+        # what shuffles is written before the laws are worked out, so that their long expressions are planned once
+        if groups == 1:
+            ready = scratch.keep(group.withColumn("open", half))
+        else:
+            node = scratch.keep(group.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("group", F.col("total").alias("n")))).alias("groups"), F.sum("total").alias("total")))
+            opened = scratch.keep(node.select("node", "groups", dealt("groups", "group", F.col("total"), half, seed, width).alias("left"))).select("node", F.inline(F.arrays_zip("groups", "left")))
+            ready = scratch.keep(group.join(opened.select("node", F.col("groups.group").alias("group"), F.col("left").alias("open")), ["node", "group"]))
+        cut = ready.select("node", "group", "parts", dealt("parts", "source", F.col("total"), F.col("open"), seed, width).alias("left")).select("node", "group", F.inline(F.arrays_zip("parts", "left")))
         side = lambda k, n: F.struct((F.col("node") * 2 + k).alias("node"), F.col("group").alias("group"), F.col("parts.source").alias("source"), n.alias("n"))
         level = scratch.keep(cut.select(F.inline(F.array(side(0, F.col("left")), side(1, F.col("parts.n") - F.col("left"))))))
         width //= 2
