@@ -1,8 +1,9 @@
 """Operator 1, benchmark decontamination: a stored positional inverted index and phrase queries on it.
 
 `build_index` reads the texts once and writes the index: a posting (term, row, pos) for every token. Every
-task writes a segment of its own, sorted by term, so nothing is shuffled. Terms and rows are 64-bit
-hashes: a term's of the word, a row's of doc_id and text. An index can be asked by many queries.
+task writes a segment of its own as it reads, so nothing is shuffled, sorted or held. Terms and rows are 64-bit
+hashes: a term's of the word, a row's of doc_id and text. An index can be asked by many queries; each reads the
+stored terms, not the texts. (Terms are spread evenly over the hashes, so sorted segments would not let a lookup skip any.)
 
 A phrase query looks up the rarest terms of each test window, shifts their positions by the terms'
 offsets, and intersects the shifted lists: equal shifts mean that the terms stand at the right distance.
@@ -36,10 +37,10 @@ def words(text) -> F.Column:
 
 
 def build_index(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """The stored index (term, row, pos) of docs(doc_id, text), in segments that are sorted by term, rows and positions in the order of the texts."""
+    """The stored index (term, row, pos) of docs(doc_id, text), in segments that lie in the order of the texts."""
     texts = only(docs, "doc_id", "text").select(row_key().alias("row"), words(F.col("text")).alias("w"))  # else each token would hash its text
     tokens = texts.select("row", F.posexplode("w").alias("pos", "word"))
-    return scratch.keep(tokens.select(F.xxhash64("word").alias("term"), "row", "pos").sortWithinPartitions("term"))  # one fixed-width key: a stable radix sort, which leaves rows and positions in order
+    return scratch.keep(tokens.select(F.xxhash64("word").alias("term"), "row", "pos"))
 
 
 def item_tokens(items: DataFrame) -> DataFrame:
