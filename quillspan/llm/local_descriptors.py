@@ -3,15 +3,18 @@
 Each greyscale image gives its corners (local maxima of the Harris response, at scales a factor `STEP` apart
 down to the smallest that holds a patch; their number grows with the image), each with an orientation from
 the intensity centroid and 128 binary tests in the turned frame. Equal images (same pixels) are one class and
-are described once. Descriptors meet in Hamming tables, each on a part of the tests, by a shuffled join of
-the queried classes and all classes; a key takes the tests of a point and of a neighbour with their places to one
-another. Two classes that share `SEEDS` keys or more are compared whole: each descriptor with the nearest of the
-other image within `DISTANCE` bits, and the pair is a copy if a similarity transform (scale, turn, shift) that one
-of these matches proposes agrees with `LEAST` of them or more. So a copy need only share a few keys, and is then
-judged by all its corners.
-
-Nothing is collected or sent to all workers; a key that very many images have is split by the join, and a row
-for each image keeps the result as long as the input.
+are described once. Descriptors meet in Hamming tables, each on a part of the tests; a key takes the tests of a
+point and of a neighbour with their places to one another. Two classes that share `SEEDS` keys or more are compared
+whole: each descriptor with the nearest of the other image within `DISTANCE` bits, and the pair is a copy if a similarity
+transform (scale, turn, shift) that one of these matches proposes agrees with `LEAST` of them or more. So a copy need only
+share a few keys, and is then judged by all its corners.
+
+Smooth images share single keys by chance in a good part of all pairs, so shared keys are not shuffled as rows: the
+queried classes are dealt to blocks and all classes to parts of bounded size, and each part meets each block by a
+shuffled cogroup, where the keys are looked up, counted by pair and the pairs compared. What is read grows with the number
+of blocks times the images, one block for each `BLOCK` bytes of queries; nothing but two sums is collected and nothing is
+sent to all workers. Images are dealt by hash, so an image's many edits are spread over the parts, and a row for each
+image keeps the result as long as the input.
 
 Defined results: a null or malformed image has no class and matches nothing; a flat image has no corners, and
 only equal images match it; repeated rows are equal images. Extra columns are ignored.
@@ -31,6 +34,8 @@ from .shared import Scratch, only
 TESTS, STEP, DISTANCE, SEEDS, LEAST = 128, 0.8, 28, 4, 10
 #: How far a match's own turn (radians) and scale (logarithm) may be from the transform's.
 TURN, RESIZE = 0.5, 0.4
+#: Rows whose results leave a worker at once; bytes of points in a block of queries, and in a part of all images at least.
+ROWS, BLOCK, PART = 512, 16 << 20, 4 << 20
 #: Hamming tables, the tests in each, and how many neighbours of a point make a key with it.
 TABLES, BITS, NEAR = 2, 26, 2
 RADIUS = 7
@@ -45,8 +50,10 @@ POINT = np.dtype([("x", "f4"), ("y", "f4"), ("scale", "f4"), ("angle", "f4"), ("
 def smoothed(x: np.ndarray) -> np.ndarray:
     """Five-tap binomial blur in both directions."""
     for axis in (0, 1):
-        p = np.pad(x, [(2, 2) if a == axis else (0, 0) for a in (0, 1)], mode="edge")
-        s = [p.take(range(i, i + x.shape[axis]), axis=axis) for i in range(5)]
+        n = x.shape[axis]
+        first, last = (x[:1], x[-1:]) if axis == 0 else (x[:, :1], x[:, -1:])
+        p = np.concatenate([first, first, x, last, last], axis=axis)
+        s = [p[i : i + n] if axis == 0 else p[:, i : i + n] for i in range(5)]
         x = (s[0] + 4 * s[1] + 6 * s[2] + 4 * s[3] + s[4]) / 16
     return x
 
@@ -59,7 +66,8 @@ def scaled(x: np.ndarray, factor: float) -> np.ndarray:
     r0, c0 = r.astype(int), c.astype(int)
     r1, c1 = np.minimum(r0 + 1, x.shape[0] - 1), np.minimum(c0 + 1, x.shape[1] - 1)
     a, b = (r - r0)[:, None], (c - c0)[None, :]
-    return (1 - a) * ((1 - b) * x[r0][:, c0] + b * x[r0][:, c1]) + a * ((1 - b) * x[r1][:, c0] + b * x[r1][:, c1])
+    top, low = x[r0], x[r1]
+    return (1 - a) * ((1 - b) * top[:, c0] + b * top[:, c1]) + a * ((1 - b) * low[:, c0] + b * low[:, c1])
 
 
 def describe(image: np.ndarray) -> np.ndarray:
@@ -136,27 +144,31 @@ def image_key() -> F.Column:
     return F.when(sound, F.xxhash64("width", "height", "pixels"))
 
 
+def few(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of at most ROWS rows."""
+    return (batch.slice(at, ROWS) for batch in batches for at in range(0, batch.num_rows, ROWS))
+
+
 def descriptors(images: DataFrame) -> DataFrame:
     """(image, points) of images(image, width, height, pixels)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in few(batches):
             points = [describe(pixels(d.as_py(), w, h)).tobytes() for d, w, h in zip(batch.column("pixels"), batch.column("width").to_pylist(), batch.column("height").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("image"), pa.array(points, pa.binary())], ["image", "points"])
 
     return images.select("image", "width", "height", "pixels").mapInArrow(run, "image long, points binary")
 
 
-def keyed(described: DataFrame, name: str) -> DataFrame:
-    """(name, key) of images(image, points)."""
+def keyed(described: DataFrame) -> DataFrame:
+    """(query, points, keys) of images(image, points)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys = [keys_of(np.frombuffer(p.as_py(), POINT)) for p in batch.column("points")]
-            ids = np.repeat(batch.column("image").to_numpy(), [len(k) for k in keys])
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.concatenate([np.empty(0, np.int64), *keys]))], [name, "key"])
+        for batch in few(batches):
+            keys = [keys_of(np.frombuffer(p.as_py(), POINT)).tobytes() for p in batch.column("points")]
+            yield pa.RecordBatch.from_arrays([batch.column("image"), batch.column("points"), pa.array(keys, pa.binary())], ["query", "points", "keys"])
 
-    return described.mapInArrow(run, f"{name} long, key long")
+    return described.select("image", "points").mapInArrow(run, "query long, points binary, keys binary")
 
 
 def agreement(p: np.ndarray, q: np.ndarray) -> int:
@@ -188,12 +200,37 @@ def inliers(a: np.ndarray, b: np.ndarray) -> int:
     return agreement(a[near], b[nearest[near]]) if len(near) >= LEAST else 0
 
 
-def confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(query, image, a, b) -> (query, image, inliers) of the pairs that are copies."""
-    for batch in batches:
-        got = [inliers(np.frombuffer(a.as_py(), POINT), np.frombuffer(b.as_py(), POINT)) for a, b in zip(batch.column("a"), batch.column("b"), strict=True)]
-        n = pa.array(got, pa.int64())
-        yield pa.RecordBatch.from_arrays([batch.column("query"), batch.column("image"), n], ["query", "image", "inliers"]).filter(pa.array([x >= LEAST for x in got], pa.bool_()))
+def compared(images: pa.Table, queries: pa.Table) -> pa.Table:
+    """(query, image, inliers) of the pairs that are copies, of a part images(image, points) and a block queries(query, points, keys)."""
+    each = [np.frombuffer(k.as_py(), np.int64) for k in queries.column("keys")]
+    keys, owner = np.concatenate([np.empty(0, np.int64), *each]), np.repeat(np.arange(len(each)), np.array([len(k) for k in each], np.int64))
+    order = np.argsort(keys, kind="stable")
+    keys, owner = keys[order], owner[order]
+    ids, points = queries.column("query").to_pylist(), queries.column("points")
+    found: list[tuple[int, int, int]] = []
+    for image, data in zip(images.column("image").to_pylist(), images.column("points"), strict=True) if len(keys) else ():
+        b = np.frombuffer(data.as_py(), POINT)
+        mine = keys_of(b)
+        first, last = np.searchsorted(keys, mine), np.searchsorted(keys, mine, "right")
+        n = last - first
+        met = owner[np.repeat(last - np.cumsum(n), n) + np.arange(n.sum())]
+        for q in np.flatnonzero(np.bincount(met) >= SEEDS).tolist():
+            if ids[q] != image and (agreeing := inliers(np.frombuffer(points[q].as_py(), POINT), b)) >= LEAST:
+                found.append((ids[q], image, agreeing))
+    return pa.table([pa.array([f[i] for f in found], pa.int64()) for i in range(3)], ["query", "image", "inliers"])
+
+
+def meetings(described: DataFrame, asked: DataFrame) -> DataFrame:
+    """(query, image, inliers) of the pairs of asked(query, points, keys) and described(image, points) that are copies."""
+    held = lambda df: df.agg(F.coalesce(F.sum(F.octet_length("points")), F.lit(0))).first()[0]
+    all_bytes, query_bytes = held(described), held(asked)
+    blocks = -(-query_bytes // BLOCK) or 1
+    parts = -(-all_bytes // max(PART, query_bytes // blocks)) or 1
+    place = lambda c, n: F.pmod(F.xxhash64(c, F.lit(n)), F.lit(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    left = described.select(every(blocks).alias("block"), place("image", parts).alias("part"), "image", "points")
+    right = asked.select(place("query", blocks).alias("block"), every(parts).alias("part"), "query", "points", "keys")
+    return left.groupBy("block", "part").cogroup(right.groupBy("block", "part")).applyInArrow(compared, "query long, image long, inliers long")
 
 
 def pairs(queries: F.Column, images: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -208,11 +245,8 @@ def pairs(queries: F.Column, images: DataFrame, scratch: Scratch) -> tuple[DataF
     one = classes.select("image", F.col("top.id").alias("id"))
     first = known.join(one.withColumnRenamed("id", "top_id").withColumnRenamed("image", "top"), (F.col("image") == F.col("top")) & F.col("id").eqNullSafe(F.col("top_id")), "left_semi")
     described = scratch.keep(descriptors(first).dropDuplicates(["image"]))
-    asked = described.join(classes.where("n_queries > 0").select("image"), "image", "left_semi")
-    met = keyed(asked, "query").join(keyed(described, "image"), "key").where("query <> image")
-    seeds = scratch.keep(met.groupBy("query", "image").agg(F.count("*").alias("n")).where(F.col("n") >= SEEDS).select("query", "image"))
-    both = seeds.join(described.select(F.col("image").alias("query"), F.col("points").alias("a")), "query").join(described.select("image", F.col("points").alias("b")), "image")
-    found = scratch.keep(both.select("query", "image", "a", "b").mapInArrow(confirmed, "query long, image long, inliers long"))
+    asked = scratch.keep(keyed(described.join(classes.where("n_queries > 0").select("image"), "image", "left_semi")))
+    found = scratch.keep(meetings(described, asked))
     return rows, classes, found
 
 
@@ -247,7 +281,7 @@ def drawn(vectors: DataFrame, cell: int = 8) -> DataFrame:
     """Images from vectors(vec_id, embedding): the vector as a square grid of grey values (filled up with zeros), spread to the full range and enlarged smoothly."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in few(batches):
             sizes, data = [], []
             for v in batch.column("embedding"):
                 x = np.array([f if f is not None else 0.0 for f in v.as_py() or ()])

@@ -569,6 +569,26 @@ def test_images_against_brute_force(spark):
         assert sum((i, 100 * (k + 1) + i) in got for i in range(12)) >= 11, name
 
 
+def test_images_in_blocks(spark, monkeypatch):
+    """However small the blocks and parts: all pairs that share SEEDS keys and agree, and no row for a shared key."""
+    rng = np.random.default_rng(3)
+    base = {i: grey(local_descriptors.scaled(rng.integers(0, 255, (6, 6)).astype(float), 8)) for i in range(60)}
+    images = base | {100 + i: grey(base[i] * 0.8 + 20) for i in range(0, 60, 3)} | {200: np.zeros((48, 48), np.uint8)}
+    points = {i: local_descriptors.describe(x) for i, x in images.items()}
+    keys = {i: set(local_descriptors.keys_of(p).tolist()) for i, p in points.items()}
+    want = {(q, i, n) for q in images if q % 5 == 0 for i in images if q != i and len(keys[q] & keys[i]) >= local_descriptors.SEEDS and (n := local_descriptors.inliers(points[q], points[i])) >= local_descriptors.LEAST}
+    assert len(want) >= 8
+    plans, keep = [], shared.Scratch.keep
+    monkeypatch.setattr(shared.Scratch, "keep", lambda self, df, *a: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or keep(self, df, *a))
+    df = spark.createDataFrame(image_rows(images), IMAGES)
+    for block, part in ((16 << 20, 4 << 20), (20_000, 40_000)):
+        monkeypatch.setattr(local_descriptors, "BLOCK", block)
+        monkeypatch.setattr(local_descriptors, "PART", part)
+        assert {tuple(r) for r in local_descriptors.search(F.col("id") % 5 == 0, df).collect()} == want
+    assert not [p for p in plans if re.search(r"\bkey#", p)]
+    assert local_descriptors.search(F.col("id") == -1, df).count() == 0
+
+
 def test_drawn_images(spark):
     df = spark.createDataFrame([(1, [0.5, -1.0, 1.0, 0.25, 0.1]), (2, None), (3, []), (4, [None, 1.0]), (5, [0.0] * 4)], "vec_id long, embedding array<double>")
     got = {r.id: r for r in local_descriptors.drawn(df).collect()}
