@@ -159,19 +159,22 @@ def logistic(x: np.ndarray, y: np.ndarray, pull: float = 0.05) -> tuple[float, .
 
 
 def corpus_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(text) -> (g): the distinct top-order n-grams of a partition's words (again, if they are too many to keep)."""
+    """(text) -> (g): the distinct top-order n-grams of a partition's words (again, if they are too many to keep).
+
+    A word is spelt when it is met, so that no more than the words and n-grams themselves are held."""
     words: set[str] = set()
     found: set[str] = set()
     for batch in batches:
         for text in batch.column(0):
-            words.update(tokens(text.as_py()))
+            for w in tokens(text.as_py()):
+                if w not in words:
+                    words.add(w)
+                    found.update(grams(w))
             if len(words) > CACHE:
-                found.update(*map(grams, words))
                 words.clear()
             if len(found) > 1_000_000:
                 yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string())], ["g"])
                 found.clear()
-    found.update(*map(grams, words))
     yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string())], ["g"])
 
 

@@ -9,10 +9,12 @@ import itertools
 import random
 import re
 import time
+import tracemalloc
 import urllib.parse
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -300,6 +302,22 @@ def test_toxicity(spark, empty):
     assert toxicity.bucket("^^éab") == spark.range(1).select(toxicity.bucket_of(F.lit("^^éab"))).first()[0]
 
 
+def test_corpus_grams_memory(monkeypatch):
+    """Many words that share their n-grams: what a worker holds is the words, not the n-grams of all of them at once."""
+    words = ["".join(w) for w in itertools.product("abcd", repeat=8)]
+    batch = pa.RecordBatch.from_arrays([pa.array([" ".join(words[i : i + 256]) for i in range(0, len(words), 256)] + [None, "", "A é_b"])], ["text"])
+    want = set(itertools.chain.from_iterable(map(toxicity.grams, [*words, "a", "é", "b"])))
+    tracemalloc.start()
+    try:
+        found = [x.column(0).to_pylist() for x in toxicity.corpus_grams(iter([batch]))]
+        assert tracemalloc.get_traced_memory()[1] < 16 << 20
+    finally:
+        tracemalloc.stop()
+    assert len(found) == 1 and sorted(found[0]) == sorted(want)
+    monkeypatch.setattr(toxicity, "CACHE", 100)  # words that are forgotten are spelt again
+    assert {g for x in toxicity.corpus_grams(iter([batch, batch])) for g in x.column(0).to_pylist()} == want
+
+
 def test_quality(spark):
     docs, labels = labelled(spark)
     rows = [(r.doc_id, r.text.upper().replace(" ", "!! ") if r.text and r.doc_id % 5 == 1 else r.text) for r in docs.collect()]
