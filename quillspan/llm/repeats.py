@@ -225,8 +225,8 @@ def finish(window: int):
 def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """Per document: doc_id, n_words, n_removed, kept_sha256 (of the kept words joined by spaces), repeats (maximal repeats as word ranges)."""
     spark = docs.sparkSession
-    scratch = Scratch(spark, "op10")
     texts = only(docs, "doc_id", "text")
+    scratch = Scratch(spark, "op10", docs)
     pair = "array<struct<anchor:long,span:long>>"
     first = scratch.keep(texts.mapInArrow(asked(window, gram), f"doc_id long, ask {pair}, gone {pair}"))
     ask = first.select("doc_id", F.inline("ask")).select("anchor", "span", "doc_id")
@@ -240,4 +240,4 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> D
     found = spots.where("open").join(least, ["anchor", "w"]).where("least < doc_id").groupBy(F.col("doc_id").alias("id")).agg(F.collect_set("at").alias("at"))
     pending = state.where("n_removed is null").join(found, F.col("doc_id") == F.col("id"), "left").select("doc_id", "text", "repeats", "at")
     done = pending.mapInArrow(finish(window), RESULT)
-    return state.where("n_removed is not null").select("doc_id", "n_words", "n_removed", "kept_sha256", "repeats").union(done)
+    return scratch.few(state.where("n_removed is not null").select("doc_id", "n_words", "n_removed", "kept_sha256", "repeats").union(done))

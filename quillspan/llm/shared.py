@@ -68,9 +68,22 @@ class Scratch:
 
     #: Codecs that keep buffers outside the heap until the next full collection make many small files costly.
     codec = "none"
-
-    def __init__(self, spark: SparkSession, name: str):
+    #: Bytes of the input to a file of a tidy scratch.
+    FILE = 12 << 20
+    #: For paths of `file:` only: files without a second one for their checksum. Pages have checksums of their own.
+    plain = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
+    #: Removes a query's shuffle files when it has ended, instead of when the driver collects its garbage.
+    cleanup = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+    def __init__(self, spark: SparkSession, name: str, of: DataFrame | None = None):
+        """of: where given, the scratch is tidy: its tables have files by the size of `of`, however many partitions there are, and no shuffle outlives its table.
+
+        Hadoop's local file system starts a `chmod` for each file, its checksum and its folder, and until such a
+        process runs its own program it is seen to have all the memory of its executor, besides the executor.
+        """
         self.spark, self.root, self.n = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", 0
+        self.tidy = of is not None
+        self.files = min(bytes_in(of) // self.FILE, 2**31 - 1) if self.tidy else 0
         self.paths: dict[int, str] = {}
         ship(spark)
         atexit.register(self.clear)
@@ -78,11 +91,22 @@ class Scratch:
     def keep(self, df: DataFrame, codec: str | None = None) -> DataFrame:
         self.n += 1
         path = f"{self.root}/{self.n}"
-        df.write.option("compression", codec or self.codec).parquet(path)
+        before = self.spark.conf.get(self.cleanup, "false")
+        if self.tidy:
+            self.spark.conf.set(self.cleanup, "true")
+        try:
+            self.few(df).write.options(compression=codec or self.codec, **(self.plain if self.tidy else {})).parquet(path)
+        finally:
+            if self.tidy:
+                self.spark.conf.set(self.cleanup, before)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(out)] = path
         return out
 
+    def few(self, df: DataFrame) -> DataFrame:
+        """df in a tidy scratch's number of partitions, or two for each core if that is more; whole partitions join, so no row is sent."""
+        return df.coalesce(max(2 * self.spark.sparkContext.defaultParallelism, self.files)) if self.tidy else df
+
     def drop(self, *frames: DataFrame) -> None:
         """Deletes tables that no later step reads."""
         for df in frames:
@@ -93,6 +117,11 @@ class Scratch:
             _delete(self.spark, self.root)
 
 
+def bytes_in(df: DataFrame) -> int:
+    """Catalyst's estimate; very large where it has none."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

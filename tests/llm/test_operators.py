@@ -12,6 +12,7 @@ import time
 import tracemalloc
 import urllib.parse
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -250,6 +251,33 @@ def test_repeats(docs, texts, empty):
     assert repeats.remove_repeats(empty).count() == 0
 
 
+def test_repeats_files(spark, docs, tmp_path, monkeypatch):
+    """However many partitions there are, the tables have files by the input's size and none for checksums, and the session's settings stay."""
+    docs.select("doc_id", "text").write.parquet(str(tmp_path / "docs"))
+    want, files, left, keep = sorted(map(str, repeats.remove_repeats(docs).collect())), [], [], shared.Scratch.keep
+
+    def kept(self, *a, **k):
+        out = keep(self, *a, **k)
+        files.append(len(out.inputFiles()))
+        crc = [f for f in Path(self.paths[id(out)].removeprefix("file:")).iterdir() if f.suffix == ".crc"]
+        left.append((crc, spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled")))
+        return out
+
+    monkeypatch.setattr(shared.Scratch, "keep", kept)
+    settings = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.files.openCostInBytes": "0", "spark.sql.files.maxPartitionBytes": "1k"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        got = repeats.remove_repeats(spark.read.parquet(str(tmp_path / "docs")))
+        assert sorted(map(str, got.collect())) == want
+        assert got.rdd.getNumPartitions() <= 8 and max(files) <= 8 and len(files) == 5
+        assert left == [([], "false")] * 5
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_word_hashes():
     rng = random.Random(2)
     blocks = ["".join(rng.choice("ab") for _ in range(64)) for _ in range(4)]
