@@ -235,7 +235,7 @@ def links(docs: DataFrame, classes: DataFrame, scratch: Scratch, threshold: floa
 def join(docs: DataFrame, threshold: float = THRESHOLD, k: int = SHINGLE, trees: int = TREES, depth: int = DEPTH, recall: float = RECALL) -> DataFrame:
     """Per row: doc_id, row (its key), class_id (the least doc_id that links lead to), first_row (the row that stands for
     the class), n_links (other rows with similarity >= threshold), copies."""
-    scratch = Scratch(docs.sparkSession, "op9")
+    scratch = Scratch(docs.sparkSession, "op9", docs)
     signed = scratch.keep(signatures(docs, trees, depth, k))
     head = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
     classes = scratch.keep(signed.where("n > 0").groupBy("h1", "h2").agg(F.min("row").alias("rep"), head.alias("head"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("signatures").alias("signatures")))
@@ -248,18 +248,19 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, k: int = SHINGLE, trees:
     tied = scratch.keep(tied.select("h1", "h2", "copies", F.coalesce("top", "head").alias("head"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")))
     out = signed.select("doc_id", "row", "h1", "h2", "n").join(tied, ["h1", "h2"], "left")
     some = F.col("n") > 0
-    return out.select("doc_id", "row", F.when(some, F.col("head.doc_id")).otherwise(F.col("doc_id")).alias("class_id"), F.when(some, F.col("head.row")).otherwise(F.col("row")).alias("first_row"), F.when(some, F.col("n_links")).otherwise(0).cast("long").alias("n_links"), F.when(some, F.col("copies")).otherwise(1).cast("long").alias("copies"))
+    out = out.select("doc_id", "row", F.when(some, F.col("head.doc_id")).otherwise(F.col("doc_id")).alias("class_id"), F.when(some, F.col("head.row")).otherwise(F.col("row")).alias("first_row"), F.when(some, F.col("n_links")).otherwise(0).cast("long").alias("n_links"), F.when(some, F.col("copies")).otherwise(1).cast("long").alias("copies"))
+    return scratch.few(out)
 
 
 def first_docs(docs: DataFrame, **settings) -> DataFrame:
     """docs with the row of least doc_id of each class; all columns stay as they are. Of repeated rows one stays."""
-    scratch = Scratch(docs.sparkSession, "op9-first")
+    scratch = Scratch(docs.sparkSession, "op9-first", docs)
     found = join(docs, **settings).groupBy("row").agg(F.min("first_row").alias("first_row"), F.count("*").alias("rows"))
     drop = scratch.keep(found.where("first_row <> row or rows > 1").select(F.col("row").alias("key"), (F.col("first_row") == F.col("row")).alias("repeated")))
     gone = drop.select("key")
     kept = docs.join(gone.hint("merge"), row_key() == gone["key"], "left_anti")
     if not drop.where("repeated").limit(1).count():
-        return kept
+        return scratch.few(kept)
     again = drop.where("repeated").select("key")
     once = docs.join(again, row_key() == again["key"], "left_semi").withColumn("__row", row_key()).dropDuplicates(["__row"]).drop("__row")
-    return kept.union(once)
+    return scratch.few(kept.union(once))

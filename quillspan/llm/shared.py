@@ -70,8 +70,9 @@ class Scratch:
     codec = "none"
     #: Bytes of the input to a file of a tidy scratch.
     FILE = 12 << 20
-    #: For paths of `file:` only: files without a second one for their checksum. Pages have checksums of their own.
-    plain = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
+    #: No empty file that marks a table as whole: `keep` returns when it is. For paths of `file:` only: files without a second one for their
+    #: checksum. Pages have checksums of their own.
+    plain = {"mapreduce.fileoutputcommitter.marksuccessfuljobs": "false", "fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
     #: Removes a query's shuffle files when it has ended, instead of when the driver collects its garbage.
     cleanup = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 

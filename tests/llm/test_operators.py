@@ -278,6 +278,34 @@ def test_repeats_files(spark, docs, tmp_path, monkeypatch):
             spark.conf.set(k, v)
 
 
+def test_near_duplicates_files(spark, docs, tmp_path, monkeypatch):
+    """However many partitions there are, tables and results have files by the input's size, and no table has files beside its parts."""
+    docs.select("doc_id", "text").write.parquet(str(tmp_path / "docs"))
+    want, first = (sorted(map(str, f(docs.select("doc_id", "text")).collect())) for f in (near_duplicates.join, near_duplicates.first_docs))
+    files, beside, keep = [], [], shared.Scratch.keep
+
+    def kept(self, *a, **k):
+        out = keep(self, *a, **k)
+        files.append(len(out.inputFiles()))
+        beside.extend(f.name for f in Path(self.paths[id(out)].removeprefix("file:")).iterdir() if not f.name.startswith("part-"))
+        return out
+
+    monkeypatch.setattr(shared.Scratch, "keep", kept)
+    settings = {"spark.sql.shuffle.partitions": "20", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.files.openCostInBytes": "0", "spark.sql.files.maxPartitionBytes": "1k"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        for f, rows in ((near_duplicates.join, want), (near_duplicates.first_docs, first)):
+            got = f(spark.read.parquet(str(tmp_path / "docs")))
+            assert sorted(map(str, got.collect())) == rows
+            assert got.rdd.getNumPartitions() <= 8
+        assert files and max(files) <= 8 and beside == []
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_word_hashes():
     rng = random.Random(2)
     blocks = ["".join(rng.choice("ab") for _ in range(64)) for _ in range(4)]
